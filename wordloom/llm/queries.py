@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_tokens, op3_binary, op6_lines, op8_bpe, op10_quality
+from . import op1_tokens, op3_binary, op5_decontaminate, op6_lines, op7_licenses, op8_bpe, op10_quality
 from .common import read, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,7 +22,9 @@ def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": lambda s, d: op1_tokens.count_tokens(read(s, d, "documents"), vocabulary("byte_bpe_50k.json")),
         "op3_token_files": lambda s, d: op3_binary.token_file_round_trip(read(s, d, "documents"), vocabulary("byte_bpe_50k.json"), shared_dir(s)),
+        "op5_decontamination": lambda s, d: op5_decontaminate.report(read(s, d, "documents"), read(s, d, "benchmark")),
         "op6_line_dedup": lambda s, d: op6_lines.line_report(read(s, d, "documents")),
+        "op7_license_scan": lambda s, d: op7_licenses.scan_licenses(read(s, d, "documents")),
         "op8_bpe_round_trip": lambda s, d: op8_bpe.encode_decode(read(s, d, "documents"), vocabulary("word_bpe_49k.json")),
         "op10_quality_rules": lambda s, d: op10_quality.quality_report(read(s, d, "documents")),
     }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_tokens, op3_binary, op5_decontaminate, op6_lines, op7_licenses, op8_bpe, op10_quality
+from . import op1_tokens, op3_binary, op5_decontaminate, op6_lines, op7_licenses, op8_bpe, op9_html, op10_quality
 from .common import read, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,7 @@ def queries() -> dict[str, Query]:
         "op6_line_dedup": lambda s, d: op6_lines.line_report(read(s, d, "documents")),
         "op7_license_scan": lambda s, d: op7_licenses.scan_licenses(read(s, d, "documents")),
         "op8_bpe_round_trip": lambda s, d: op8_bpe.encode_decode(read(s, d, "documents"), vocabulary("word_bpe_49k.json")),
+        "op9_main_text": lambda s, d: op9_html.extract_pages(read(s, d, "pages")),
         "op10_quality_rules": lambda s, d: op10_quality.quality_report(read(s, d, "documents")),
     }
 

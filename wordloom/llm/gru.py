@@ -97,7 +97,7 @@ class Model:
         cls = self.of[y]
         rows = np.arange(len(y))
         log = np.log(np.maximum(c[rows, cls], F4(1e-30)))
-        order = np.argsort(cls, kind="stable")
+        order = np.argsort(cls.astype(np.int16), kind="stable")  # 16 bits: sorted by radix
         cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
         grads = None
         if learn:
@@ -165,7 +165,7 @@ class Model:
         tokens, a = flat_x[seen], flat_a[seen]
         g["w"] += p["emb"][tokens].T @ a
         de = a @ p["w"].T
-        order = np.argsort(tokens, kind="stable")
+        order = np.argsort(tokens.astype(np.int16) if self.size < 1 << 15 else tokens, kind="stable")
         if len(order):
             first = np.flatnonzero(np.diff(tokens[order], prepend=-1))
             g["emb"][tokens[order][first]] += np.add.reduceat(de[order], first, 0)

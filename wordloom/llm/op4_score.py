@@ -21,15 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, small_batches
 from .gru import Adagrad, Model, lanes
 
 END = b"\n"
-FREQUENT, SUFFIXES, KNOWN = 1023, 64, 200_000
-HIDDEN, CLASSES, LANES, STEPS = 12, 32, 512, 32
+FREQUENT, SUFFIXES, KNOWN = 511, 64, 150_000
+HIDDEN, CLASSES, LANES, STEPS = 10, 24, 512, 32
+#: Tokens after which training lets a document's state go; scoring never does.
+PIECE = 2048
 #: Tokens of the documents that run side by side, and distinct words that a task counts before it hands them on.
 BLOCK, FLUSH = 4_000_000, 400_000
 LOG10 = math.log(10)
@@ -118,7 +120,6 @@ class Vocabulary:
             return np.array(got, np.int64), []
         rare = [w for w, i in zip(words, got) if i is None]
         n = self.known
-        # The end is a token of its own even where no document was there to learn from.
         return np.array([(n + suffix(w)) if i is None else i for w, i in zip(words, got)], np.int64), rare
 
     def model(self) -> Model:
@@ -126,7 +127,7 @@ class Vocabulary:
 
     def tokens(self, words: list[bytes]) -> np.ndarray:
         ids = self.token[self.numbers(words)[0]]
-        if words[-1] not in self.index:
+        if END not in self.index:
             ids[-1] = self.frequent[END]
         return ids
 
@@ -134,7 +135,10 @@ class Vocabulary:
 def learn(counts: DataFrame) -> Vocabulary:
     """Reads the bounded tables off the counts."""
     total = counts.agg(F.sum("c"), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(KNOWN).collect()
+    # The least count with at most KNOWN words at or above it, from how often each count occurs.
+    often = counts.groupBy("c").agg(F.count("*").alias("words")).withColumn("above", F.sum("words").over(Window.orderBy(F.desc("c"))))
+    least = often.filter(F.col("above") <= KNOWN).agg(F.min("c")).first()[0]
+    top = sorted(counts.filter(F.col("c") >= least).toLocalIterator(), key=lambda r: (-r.c, r.word)) if least else []
     by = counts.groupBy((F.crc32(F.substring("word", -2, 2)) % SUFFIXES).alias("s")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
     return Vocabulary([(bytes(r.word), r.c) for r in top], total[0] or 0, total[1], {r.s: (r.c, r.v) for r in by})
 
@@ -157,8 +161,9 @@ def train(docs: DataFrame, sent, start: np.ndarray, rate: float) -> np.ndarray:
         ids, n = [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                ids.append(v.tokens(tokens(text)))
-                n += len(ids[-1])
+                own = v.tokens(tokens(text))
+                ids += [own[a : a + PIECE] for a in range(0, len(own), PIECE)]
+                n += len(own)
             if n >= BLOCK:
                 fit(ids)
                 done += n

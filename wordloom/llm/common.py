@@ -31,6 +31,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+def own_names(df: DataFrame) -> str:
+    """A beginning for column names that no column of df has."""
+    p = "lm_"
+    while any(c.lower().startswith(p) for c in df.columns):
+        p += "_"
+    return p
+
+
 def lower_ascii(text: str) -> str:
     """A-Z only; every other character stays."""
     return text.lower() if text.isascii() else text.translate(_LOWER)

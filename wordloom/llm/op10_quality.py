@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES
+from .common import SPACES, own_names
 from .op6_lines import key_hash, line_key, lines_of
 
 SYMBOLS = "#*$%&|<>"
@@ -50,17 +50,17 @@ def repeat_words(words: Column) -> Column:
     return F.coalesce(bound(hashes, lambda h: F.when(h.isNotNull(), of(h))), F.lit(0)).cast("long")
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """docs with lm_w (words, and those in repeated windows), lm_word_chars, lm_n_symbols and lm_n_dup_lines."""
+def measures(docs: DataFrame, p: str = "lm_") -> DataFrame:
+    """docs with w (words, and those in repeated windows), word_chars, n_symbols and n_dup_lines, under names that begin with p."""
     text = F.coalesce(F.col("text"), F.lit(""))
     real = F.filter(lines_of(F.col("text")), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     stats = bound(words_of(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("r")))
     return docs.select(
-        *docs.columns,
-        stats.alias("lm_w"),
-        F.length(F.translate(text, SPACES, "")).cast("long").alias("lm_word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("lm_n_symbols"),
-        bound(real, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("lm_n_dup_lines"),
+        *(F.col(f"`{c}`") for c in docs.columns),
+        stats.alias(f"{p}w"),
+        F.length(F.translate(text, SPACES, "")).cast("long").alias(f"{p}word_chars"),
+        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias(f"{p}n_symbols"),
+        bound(real, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias(f"{p}n_dup_lines"),
     )
 
 
@@ -84,7 +84,7 @@ def depleted(docs: DataFrame, share: float = SHARE, few: int = FEW) -> DataFrame
 
 
 def judge(docs: DataFrame, share: float = SHARE, few: int = FEW) -> DataFrame:
-    """docs with lm_m: a struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and
+    """docs with one more column, m under own_names(docs): a struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and
     n_boilerplate_words.
 
     Base: fewer than MIN_WORDS words, or over MAX_REPEAT per cent of them in repeated 3-word windows, fails. Method: lines
@@ -94,23 +94,25 @@ def judge(docs: DataFrame, share: float = SHARE, few: int = FEW) -> DataFrame:
     repeat a doc_id count as documents of their own for line counts; a null doc_id is judged by the base rules alone. An
     empty table gives no rows. The limit is a share of the host, so copies of one document, however many, are no
     boilerplate unless they fill a fifth of the host; removing copies is another operator's task."""
-    lost = depleted(docs.select("doc_id", "source", "text"), share, few).withColumnsRenamed({"did": "lm_did", "gone": "lm_gone"})
-    m = measures(docs).join(lost, F.col("doc_id") == F.col("lm_did"), "left")
-    n = F.col("lm_w.n")
-    failed = (n < MIN_WORDS) | (100 * F.col("lm_w.r") > MAX_REPEAT * n)
-    gone = F.least(F.coalesce(F.col("lm_gone"), F.lit(0)), n)
-    return m.select(*docs.columns, F.struct(n.alias("n_words"), "lm_word_chars", "lm_n_symbols", "lm_n_dup_lines", F.col("lm_w.r").alias("n_repeat_words"), failed.alias("base_failed"), (~failed & (gone <= DEPLETED * n)).alias("kept"), gone.alias("n_boilerplate_words")).alias("lm_m"))
+    p = own_names(docs)
+    lost = depleted(docs.select("doc_id", "source", "text"), share, few).withColumnsRenamed({"did": f"{p}did", "gone": f"{p}gone"})
+    m = measures(docs, p).join(lost, F.col("doc_id") == F.col(f"{p}did"), "left")
+    n, repeats = F.col(f"{p}w")["n"], F.col(f"{p}w")["r"]
+    failed = (n < MIN_WORDS) | (100 * repeats > MAX_REPEAT * n)
+    gone = F.least(F.coalesce(F.col(f"{p}gone"), F.lit(0)), n)
+    found = F.struct(n.alias("n_words"), *(F.col(p + c).alias(c) for c in ("word_chars", "n_symbols", "n_dup_lines")), repeats.alias("n_repeat_words"), failed.alias("base_failed"), (~failed & (gone <= DEPLETED * n)).alias("kept"), gone.alias("n_boilerplate_words"))
+    return m.select(*(F.col(f"`{c}`") for c in docs.columns), found.alias(f"{p}m"))
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
     """The measures and verdict of every row. The text isn't shuffled: only measures and line hashes are."""
     m = judge(docs.select("doc_id", "source", "text"))
-    return m.select("doc_id", *(F.col(f"lm_m.{a}").alias(a.removeprefix("lm_")) for a in ("n_words", "lm_word_chars", "lm_n_symbols", "lm_n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_boilerplate_words")))
+    return m.select("doc_id", "lm_m.*").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_boilerplate_words")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
-    return judge(docs).filter("lm_m.kept").select(*docs.columns)
+    return judge(docs).filter(F.col(f"{own_names(docs)}m")["kept"]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 ORACLE = r"""

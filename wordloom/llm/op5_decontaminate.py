@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, lower_ascii, saved, small_batches
+from .common import WORD, lower_ascii, own_names, saved, small_batches
 
 WINDOW, MIN_ITEMS = 8, 2
 #: Words of a shard, and bytes of item text that are sent to the tasks at once.
@@ -227,8 +227,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without those in which at least MIN_ITEMS items have a window; columns stay. A row whose doc_id is
     null stays, since it can't be named."""
-    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("lm_did")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("lm_did"), "left_anti")
+    name = f"{own_names(docs)}did"
+    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, lower_ascii_col
+from .common import SPACES, lower_ascii_col, own_names
 
 #: Code points a key needs, and documents it must be found in, for its lines to be dropped.
 MIN_CHARS, MIN_DOCS = 10, 2
@@ -44,13 +44,14 @@ def droppable(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_D
 
 
 def with_kept(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs with lm_n_lines, lm_kept (array of the lines that stay, in order); no other column changes."""
-    drops = droppable(docs, min_chars, min_docs).withColumnsRenamed({"did": "lm_did", "drops": "lm_drops"})
-    joined = docs.join(drops, F.col("doc_id") == F.col("lm_did"), "left")
-    lines, text = lines_of(F.col("text")), F.col("text")
-    stays = lambda x: ~F.coalesce((F.length(F.btrim(x, F.lit(SPACES))) >= min_chars) & F.array_contains(F.col("lm_drops"), key_hash(line_key(x))), F.lit(False))
-    kept = F.when(F.col("lm_drops").isNull(), lines).otherwise(F.filter(lines, stays))
-    return joined.select(*docs.columns, F.size(lines_of(text)).cast("long").alias("lm_n_lines"), kept.alias("lm_kept"))
+    """docs with two more columns, n_lines and kept (array of the lines that stay, in order), under own_names(docs)."""
+    p = own_names(docs)
+    drops = droppable(docs, min_chars, min_docs).withColumnsRenamed({"did": f"{p}did", "drops": f"{p}drops"})
+    joined = docs.join(drops, F.col("doc_id") == F.col(f"{p}did"), "left")
+    lines, gone = lines_of(F.col("text")), F.col(f"{p}drops")
+    stays = lambda x: ~F.coalesce((F.length(F.btrim(x, F.lit(SPACES))) >= min_chars) & F.array_contains(gone, key_hash(line_key(x))), F.lit(False))
+    kept = F.when(gone.isNull(), lines).otherwise(F.filter(lines, stays))
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.size(lines).cast("long").alias(f"{p}n_lines"), kept.alias(f"{p}kept"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -62,12 +63,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     document and lose the same lines; rows whose doc_id is null lose none and count for nobody. Other columns stay; a
     column n_chars is set anew. An empty table stays empty."""
     out = with_kept(docs, min_chars, min_docs)
-    text = F.when(F.col("text").isNotNull(), F.array_join("lm_kept", "\n"))
+    text = F.when(F.col("text").isNotNull(), F.array_join(f"{own_names(docs)}kept", "\n"))
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def line_report(docs: DataFrame) -> DataFrame:

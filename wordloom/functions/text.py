@@ -94,7 +94,7 @@ def derivation_candidates(c: Column) -> Column:
     glosses, bracketed remarks and question marks."""
     note = F.coalesce(c, F.lit(""))
     bare = F.regexp_replace(note, r"'[^']*'|\([^)]*\)|[?？]", " ")
-    parts = F.transform(F.split(bare, "[;；，,~=]"), F.trim)
+    parts = F.transform(F.split(bare, "[;；，,~=]"), lambda p: F.trim(p))
     return F.array_distinct(F.concat(F.array(F.trim(note)), F.filter(parts, lambda p: (p != "") & ~p.rlike(r"(?U)\s"))))
 
 

@@ -90,9 +90,10 @@ def gloss_hits(queries: DataFrame, glosses: DataFrame) -> DataFrame:
     need = q.select("qid", F.array_join("ws", " ").alias("phrase"), F.size("ws").alias("n"), F.explode("ws").alias("w"))
     index = glosses.select("doc", F.explode(T.gloss_tokens(F.col("gloss"))).alias("token"))
     vocabulary = index.select("token").distinct()
-    # Beginnings are an equi-join on the first three letters.
-    lead = lambda c: F.substring(c, 1, 3)
-    forms = need.select("w").distinct().join(vocabulary, (F.when(F.length("w") >= 3, lead(F.col("w"))).otherwise(F.col("w")) == F.when(F.length("w") >= 3, lead(F.col("token"))).otherwise(F.col("token"))) & F.col("token").startswith(F.col("w")))
+    # Beginnings are an equi-join on the first three letters; shorter words are looked up whole.
+    asked = need.select("w").distinct()
+    long = asked.filter(F.length("w") >= 3).join(vocabulary, (F.substring("w", 1, 3) == F.substring("token", 1, 3)) & F.col("token").startswith(F.col("w")))
+    forms = long.unionByName(asked.filter(F.length("w") < 3).join(vocabulary, F.col("w") == F.col("token")))
     found = need.join(forms, "w").join(index, "token").groupBy("qid", "doc", "phrase", "n").agg(F.count_distinct("w").alias("k")).filter("k = n")
     senses = F.transform(F.split("gloss", "[;；]"), lambda s: F.array_join(T.gloss_tokens(s), " "))
     p = F.col("phrase")

@@ -76,9 +76,9 @@ classed AS (SELECT *, CASE WHEN regexp_matches(t, '^-|-$') OR regexp_matches(t,
 HEADS = f"heads AS (SELECT {KEY.format(BASE.format('text'))} AS term, doc_id * 100000 + line AS doc FROM classed WHERE unit <> 'sentence')"
 PARTIAL = """hits AS (SELECT q, term, CASE WHEN starts_with(term, q) THEN 'prefix' WHEN ends_with(term, q) THEN 'suffix' ELSE 'substring' END AS match_type FROM words JOIN lex ON contains(term, q) AND term <> q),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY CASE match_type WHEN 'prefix' THEN 0 ELSE 1 END, length(term), term) AS rank FROM hits),
-partial AS (SELECT q, term, match_type, rank, round(least(length(term) - length(q), 12) * 0.05 + CASE match_type WHEN 'prefix' THEN 0.35 ELSE 0.9 END, 9) AS score FROM ranked WHERE rank <= 300)"""
+partial AS (SELECT q, term, match_type, rank, round(least(length(term) - length(q), 12) * 0.05 + CASE match_type WHEN 'prefix' THEN 0.35 ELSE 0.9 END, 9)::DOUBLE AS score FROM ranked WHERE rank <= 300)"""
 ENTRIES = f"""{WORDS}, {LINES}, {HEADS}, lex AS (SELECT DISTINCT term FROM heads WHERE term <> ''), {PARTIAL},
-matches AS (SELECT q, term, match_type, score FROM partial UNION ALL SELECT q, q, 'fuzzy', 0.0 FROM words WHERE q IN (SELECT term FROM lex)),
+matches AS (SELECT q, term, match_type, score FROM partial UNION ALL SELECT q, q, 'fuzzy', 0.0::DOUBLE FROM words WHERE q IN (SELECT term FROM lex)),
 placed AS (SELECT q, doc, heads.term, match_type, score, row_number() OVER (PARTITION BY q, doc ORDER BY score, CASE match_type WHEN 'fuzzy' THEN 0 WHEN 'prefix' THEN 1 WHEN 'suffix' THEN 5 ELSE 6 END, length(heads.term), heads.term) AS n FROM matches JOIN heads ON matches.term = heads.term),
 entry AS (SELECT q, doc, term, match_type, score FROM placed WHERE n = 1)"""
 
@@ -98,7 +98,7 @@ def postings_token(s, d):
     return I.postings(texts=table(s, d, "documents").select("text", F.col("doc_id").alias("doc")))
 
 
-@query(f"WITH {WORDS}, {TERMS}, lex AS (SELECT term FROM terms), {PARTIAL} SELECT q, term, match_type, rank, score FROM partial")
+@query(f"WITH {WORDS}, {TERMS}, lex AS (SELECT term FROM terms), {PARTIAL} SELECT q, term, match_type, rank::INTEGER AS rank, score FROM partial")
 def partial_matches(s, d):
     return I.partial_matches(words(s, d), terms(s, d))
 
@@ -120,7 +120,7 @@ def method_counts(s, d):
     return S.tally(S.entries(S.term_matches(words(s, d), h.select("term").distinct()), h))
 
 
-@query(f"WITH {ENTRIES}, c AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score, CASE match_type WHEN 'fuzzy' THEN 0 WHEN 'prefix' THEN 1 WHEN 'suffix' THEN 5 ELSE 6 END, length(term), term, doc) AS place FROM entry) SELECT q, doc, term, match_type, score, place FROM c WHERE place <= 20")
+@query(f"WITH {ENTRIES}, c AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score, CASE match_type WHEN 'fuzzy' THEN 0 WHEN 'prefix' THEN 1 WHEN 'suffix' THEN 5 ELSE 6 END, length(term), term, doc) AS place FROM entry) SELECT q, doc, term, match_type, score, place::INTEGER AS place FROM c WHERE place <= 20")
 def capped_results(s, d):
     h = heads(s, d)
     return S.capped(S.entries(S.term_matches(words(s, d), h.select("term").distinct()), h).drop("distance"), 20)
@@ -198,7 +198,7 @@ def quality_summary(s, d):
 
 @query(f"""WITH {WORDS}, l AS (SELECT doc_id, {split_sql('text')} AS ws FROM documents), e AS (SELECT doc_id AS doc, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM l),
 c AS (SELECT *, concat_ws(' ', lag(word, 1) OVER o, lag(word, 2) OVER o, lag(word, 3) OVER o) AS left, concat_ws(' ', lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o) AS right FROM e WINDOW o AS (PARTITION BY doc ORDER BY pos))
-SELECT doc, pos, word, left, right FROM c WHERE length(word) >= 8 AND word IN (SELECT q FROM words)""".replace(" AS left", ' AS "left"').replace(" AS right", ' AS "right"').replace("word, left, right FROM", 'word, "left", "right" FROM'))
+SELECT doc, pos::INTEGER AS pos, word, left, right FROM c WHERE length(word) >= 8 AND word IN (SELECT q FROM words)""".replace(" AS left", ' AS "left"').replace(" AS right", ' AS "right"').replace("word, left, right FROM", 'word, "left", "right" FROM'))
 def kwic(s, d):
     return S.kwic(table(s, d, "documents"), words(s, d).filter(F.length("q") >= 8).withColumnRenamed("q", "word"))
 
@@ -232,12 +232,12 @@ def affixes(s):
     return s.createDataFrame(R.AFFIXES, "kind string, form string")
 
 
-@query(f"WITH {AFFIX}, {TERMS}, {STRIP} SELECT word, stem, n FROM parses")
+@query(f"WITH {AFFIX}, {TERMS}, {STRIP} SELECT word, stem, n::INTEGER AS n FROM parses")
 def affix_strip(s, d):
     return R.strip_affixes(terms(s, d).withColumnRenamed("term", "word"), affixes(s))
 
 
-COSTED = "costed AS (SELECT p.word, p.stem, round(p.n * 0.3 + least(length(regexp_replace(p.stem, '[^aeiou]', '', 'g')), 3) * 0.05, 9) AS cost FROM parses p JOIN terms ON p.stem = terms.term WHERE p.n > 0)"
+COSTED = "costed AS (SELECT p.word, p.stem, round(p.n * 0.3 + least(length(regexp_replace(p.stem, '[^aeiou]', '', 'g')), 3) * 0.05, 9)::DOUBLE AS cost FROM parses p JOIN terms ON p.stem = terms.term WHERE p.n > 0)"
 
 
 def parses(s, d):
@@ -252,7 +252,7 @@ def parse_selection(s, d):
 
 
 @query(f"""WITH RECURSIVE {AFFIX}, {TERMS}, {WORDS}, {STRIP}, {COSTED}, g(word, path, k) AS (SELECT q, 0.0::DOUBLE, 0 FROM words UNION SELECT c.word, round(g.path + c.cost, 9), k + 1 FROM g JOIN costed c ON g.word = c.stem WHERE g.path + c.cost <= 1.0 + 1e-9 AND k < 3)
-SELECT word, min(path) AS cost FROM g WHERE k > 0 AND word NOT IN (SELECT q FROM words) GROUP BY word""")
+SELECT word, min(path)::DOUBLE AS cost FROM g WHERE k > 0 AND word NOT IN (SELECT q FROM words) GROUP BY word""")
 def descendants(s, d):
     return R.descendants(parses(s, d).withColumnRenamed("stem", "root"), words(s, d).select(F.col("q").alias("word"), F.lit(0.0).alias("cost")), 1.0, 3)
 
@@ -266,7 +266,7 @@ def candidates(s, d, top: int) -> DataFrame:
     return R.blocked(words(s, d), words(s, d).withColumnRenamed("q", "term"), top)
 
 
-@query(f"WITH {BLOCK} SELECT q, term, shared, place FROM top WHERE place <= 20")
+@query(f"WITH {BLOCK} SELECT q, term, shared, place::INTEGER AS place FROM top WHERE place <= 20")
 def bigram_blocking(s, d):
     return candidates(s, d, 20)
 
@@ -276,15 +276,15 @@ ROW0 = "list_transform(range(0, length(term) + 1), lambda j: j * 1.0::DOUBLE)"
 
 @query(f"""WITH RECURSIVE {BLOCK}, pr AS (SELECT q, term FROM top WHERE place <= 5),
 dp AS (SELECT q, term, 0 AS i, {ROW0} AS r FROM pr UNION ALL SELECT q, term, i + 1, list_reduce(range(1, length(term) + 1), lambda acc, j: list_append(acc, least(acc[j] + 1.0, r[j + 1] + 1.0, r[j] + CASE WHEN substr(q, i + 1, 1) = substr(term, j, 1) THEN 0.0 ELSE 1.2 END)), [r[1] + 1.0]) FROM dp WHERE i < length(q)),
-x AS (SELECT q, term, round(r[length(term) + 1], 9) AS distance FROM dp WHERE i = length(q))
-SELECT q, term, distance, round(distance / greatest(length(q), length(term), 1), 9) AS by_max, round(distance / greatest(length(q) + length(term), 1), 9) AS by_sum, round(distance / greatest(length(q), 1), 9) AS by_query FROM x""")
+x AS (SELECT q, term, round(r[length(term) + 1], 9)::DOUBLE AS distance FROM dp WHERE i = length(q))
+SELECT q, term, distance, round(distance / greatest(length(q), length(term), 1), 9)::DOUBLE AS by_max, round(distance / greatest(length(q) + length(term), 1), 9)::DOUBLE AS by_sum, round(distance / greatest(length(q), 1), 9)::DOUBLE AS by_query FROM x""")
 def plain_edit_distance(s, d):
     c = candidates(s, d, 5).select("q", "term", D.plain_distance(F.col("q"), F.col("term")).alias("distance"))
     return c.withColumns({f"by_{k}": D.normalized(F.col("distance"), F.col("q"), F.col("term"), k) for k in ("max", "sum", "query")})
 
 
 @query(f"""WITH {BLOCK}, pr AS (SELECT q, term FROM top WHERE place <= 5 AND length(q) = length(term)), ch AS (SELECT unnest(string_split(q, '')) AS s, unnest(string_split(term, '')) AS w FROM pr), n AS (SELECT s, w, count(*) AS n FROM ch GROUP BY s, w)
-SELECT s, w, round(-ln((n + CASE WHEN s = w THEN 1.0 ELSE 0.0 END) / (sum(n) OVER (PARTITION BY s) + 1.0)), 9) AS cost FROM n""")
+SELECT s, w, round(-ln((n + CASE WHEN s = w THEN 1.0 ELSE 0.0 END) / (sum(n) OVER (PARTITION BY s) + 1.0)), 9)::DOUBLE AS cost FROM n""")
 def cost_table(s, d):
     pr = candidates(s, d, 5).filter(F.length("q") == F.length("term"))
     cells = pr.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("q")), lambda i: F.struct(F.substring("q", i, 1).alias("s"), F.substring("term", i, 1).alias("w")))).alias("x"))

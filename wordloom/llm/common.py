@@ -45,7 +45,8 @@ def lower_ascii(text: str) -> str:
 
 
 def lower_ascii_col(c: Column) -> Column:
-    return F.translate(c, _UPPER, _UPPER.lower())
+    """A-Z only. lower() does that for ASCII strings, and much faster."""
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, _UPPER, _UPPER.lower()))
 
 
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .index import partial_matches
 
-TYPE_RANK = {"fuzzy": 0, "prefix": 1, "lemma": 2, "derived": 3, "sibling": 4, "suffix": 5, "substring": 6}
+TYPE_RANK = {kind: i for i, kind in enumerate("fuzzy prefix lemma derived sibling suffix substring".split())}
 GROUPS = {"exact": "spelling", "fuzzy": "spelling", "prefix": "partial", "suffix": "partial", "substring": "partial", "lemma": "automatic", "derived": "automatic", "sibling": "automatic"}
 
 

@@ -52,7 +52,7 @@ def heads(s: SparkSession, d: str) -> DataFrame:
 
 
 # The same building blocks in SQL. chr(…) keeps quotes and blanks readable.
-SEP = r"""[\s,.;:!?"“”«»()\[\]{}/\\|。，、；：！？「」『』（）［］]+"""
+SEP = T.SEPARATORS.removeprefix("(?U)")  # no-break and wide spaces are plain ones by then
 FOLD = "translate(lower({0}), '`´‘’ʼǝ' || chr(12288) || chr(160), repeat(chr(39), 5) || 'ə  ')"
 BASE = r"trim(regexp_replace(" + FOLD + r", '\s+', ' ', 'g'))"
 KEY = r"trim(regexp_replace(translate({0}, '-=<>…~*', ''), '\s+', ' ', 'g'))"

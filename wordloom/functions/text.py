@@ -60,14 +60,15 @@ def raw_words(c: Column) -> Column:
 
 
 def split_words(c: Column) -> Column:
-    """Whole words, in order, with repeats."""
-    return F.filter(F.transform(raw_words(c), search_key), lambda w: w != "")
+    """Whole words, in order, with repeats. Notation goes before the text is split, in one pass over it."""
+    return F.filter(F.split(F.translate(base_key(F.coalesce(c, F.lit(""))), NOTATION, ""), SEPARATORS), lambda w: w != "")
 
 
 def tokenize(c: Column) -> Column:
     """Distinct words, each followed by its morphemes of at least two characters where it is marked for any."""
-    parts = lambda w: F.when(w.rlike(MORPHEMES), F.filter(F.transform(F.split(w, MORPHEMES), search_key), lambda p: F.length(p) >= 2)).otherwise(F.array().cast("array<string>"))
-    both = F.flatten(F.transform(raw_words(c), lambda w: F.concat(F.array(search_key(w)), parts(w))))
+    bare = lambda w: F.translate(w, NOTATION, "")  # noqa: E731  (the rest of the key is there already)
+    parts = lambda w: F.filter(F.transform(F.split(w, MORPHEMES), bare), lambda p: F.length(p) >= 2)
+    both = F.flatten(F.transform(raw_words(c), lambda w: F.when(w.rlike(MORPHEMES), F.concat(F.array(bare(w)), parts(w))).otherwise(F.array(bare(w)))))
     return F.array_distinct(F.filter(both, lambda w: w != ""))
 
 

@@ -163,6 +163,23 @@ def test_score_beats_counts_on_held_out_documents(spark):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_training_carries_the_state_over_whole_documents(spark, monkeypatch, tmp_path):
+    long = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 > 1)
+    whole = gru.lanes
+
+    def spy(docs, width, steps):
+        with open(f"{tmp_path}/sizes", "a") as f:
+            f.writelines(f"{len(d)}\n" for d in docs)
+        yield from whole(docs, width, steps)
+
+    monkeypatch.setattr(op4_score, "lanes", spy)
+    docs = table(spark, [(long, "a b c d e " * 1000, "s")])
+    v = op4_score.learn(op4_score.count_words(docs))
+    op4_score.train(docs, spark.sparkContext.broadcast(v), v.model().vector.copy(), 0.05)
+    assert {int(x) for x in (tmp_path / "sizes").read_text().split()} == {5001}
+    assert (op4_score.FREQUENT, op4_score.HIDDEN, op4_score.CLASSES) == (1023, 12, 32)
+
+
 def test_model_is_a_distribution_and_gradient_is_right(monkeypatch):
     rng = np.random.default_rng(0)
     m = gru.Model(np.array([50, 30, 20, 10, 9, 5, 3, 2.0]), 6, 3)

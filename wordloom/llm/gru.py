@@ -68,40 +68,50 @@ class Model:
 
     def run(self, x: np.ndarray, state: np.ndarray, keep: bool) -> tuple:
         """x: input tokens (time, lanes), -1 at a document's start. Returns states after each step and, with keep, what
-        the way back needs."""
+        the way back needs: the states before each step, the gates z and r, the candidates, and what r is multiplied by."""
         p, h = self.p, self.hidden
         steps, lanes = x.shape
-        table = np.concatenate([p["emb"] @ p["w"], np.zeros((1, 3 * h), F4)])  # row -1: no input
+        table = np.concatenate([p["emb"] @ p["w"], np.zeros((1, 3 * h), F4)])  # last row: no input
+        table += p["b"]
+        first = x < 0
+        some = first.any(1)
+        a = table.take(np.where(first, self.size, x), 0)
         states = np.empty((steps, lanes, h), F4)
-        saved = []
+        befores, gates, cs, gcs = (np.empty((steps, lanes, n * h), F4) for n in (1, 2, 1, 1)) if keep else (None,) * 4
         for t in range(steps):
-            state = state * (x[t] >= 0)[:, None].astype(F4)
-            a = table[x[t]]
-            a += p["b"]
+            if some[t]:
+                state = np.where(first[t][:, None], F4(0), state)
             g = state @ p["u"]
-            zr = sigmoid(a[:, : 2 * h] + g[:, : 2 * h])
-            z, r = zr[:, :h], zr[:, h:]
-            c = np.tanh(a[:, 2 * h :] + r * g[:, 2 * h :])
-            new = state + z * (c - state)
+            zr = sigmoid(a[t, :, : 2 * h] + g[:, : 2 * h])
+            gc = g[:, 2 * h :]
+            c = zr[:, h:] * gc
+            c += a[t, :, 2 * h :]
+            np.tanh(c, out=c)
+            new = states[t]
+            np.subtract(c, state, out=new)
+            new *= zr[:, :h]
+            new += state
             if keep:
-                saved.append((state, z, r, c, g[:, 2 * h :]))
-            states[t] = state = new
-        return states, state, saved
+                befores[t], gates[t], cs[t], gcs[t] = state, zr, c, gc
+            state = new
+        return states, state.copy(), (befores, gates[..., :h], gates[..., h:], cs, gcs) if keep else None
 
     def logits(self, s: np.ndarray, y: np.ndarray, learn: bool) -> tuple:
-        """Log probability of each target token, and with learn the gradients of its sum by state and output parameters."""
+        """Log probability of each target token, and with learn the gradients of its sum by state and output parameters.
+        Rows are sorted by class first, so that each class is a slice of them."""
         p = self.p
+        cls = self.of.take(y)
+        order = np.argsort(cls.astype(np.int16), kind="stable")  # 16 bits: sorted by radix
+        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        s, y = s.take(order, 0), y.take(order)
         c = s @ p["oc"]
         c += p["bc"]
         softmax(c)
-        cls = self.of[y]
-        rows = np.arange(len(y))
+        rows, cls = np.arange(len(y)), cls.take(order)
         log = np.log(np.maximum(c[rows, cls], F4(1e-30)))
-        order = np.argsort(cls.astype(np.int16), kind="stable")  # 16 bits: sorted by radix
-        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
         grads = None
         if learn:
-            d = -c
+            d = np.negative(c, out=c)
             d[rows, cls] += 1
             ds = d @ p["oc"].T
             grads = {"oc": s.T @ d, "bc": d.sum(0), "ow": np.zeros_like(p["ow"]), "bw": np.zeros_like(p["bw"])}
@@ -109,20 +119,21 @@ class Model:
             a, b = self.first[k], self.last[k]
             if b - a == 1:
                 continue
-            i = order[cuts[k] : cuts[k + 1]]
-            si = s[i]
-            q = si @ p["ow"][a:b].T
+            i = slice(cuts[k], cuts[k + 1])
+            q = s[i] @ p["ow"][a:b].T
             q += p["bw"][a:b]
             softmax(q)
-            at, hit = np.arange(len(i)), y[i] - a
+            at, hit = rows[: len(q)], y[i] - a
             log[i] += np.log(np.maximum(q[at, hit], F4(1e-30)))
             if learn:
                 np.negative(q, out=q)
                 q[at, hit] += 1
                 ds[i] += q @ p["ow"][a:b]
-                grads["ow"][a:b] = q.T @ si
+                grads["ow"][a:b] = q.T @ s[i]
                 grads["bw"][a:b] = q.sum(0)
-        return log, ds if learn else None, grads
+        back = np.empty_like(order)
+        back[order] = rows
+        return log.take(back), ds.take(back, 0) if learn else None, grads
 
     def window(self, x: np.ndarray, y: np.ndarray, live: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log probabilities (time, lanes) of targets y, and the state after the window."""
@@ -146,20 +157,29 @@ class Model:
             g[k][...] = v
         dstates = np.zeros_like(states)
         dstates[live] = ds
+        before, z, r, c, gc = saved
+        by_c, by_z, by_r, rest = z * (1 - c * c), (c - before) * z * (1 - z), gc * r * (1 - r), 1 - z
         carry = np.zeros_like(state)
-        da_all = np.empty((*x.shape, 3 * h), F4)
+        first = x < 0
+        some = first.any(1)
+        dg_all, da_c = np.empty((*x.shape, 3 * h), F4), np.empty((*x.shape, h), F4)
+        back = np.ascontiguousarray(p["u"].T)
         for t in range(len(x) - 1, -1, -1):
-            before, z, r, c, gc = saved[t]
-            d = dstates[t] + carry
-            dc = d * z * (1 - c * c)
-            da = da_all[t]
-            da[:, :h] = d * (c - before) * z * (1 - z)
-            da[:, h : 2 * h] = dc * gc * r * (1 - r)
-            da[:, 2 * h :] = dc
-            dg = np.concatenate([da[:, : 2 * h], dc * r], 1)
-            g["u"] += before.T @ dg
-            carry = (d * (1 - z) + dg @ p["u"].T) * (x[t] >= 0)[:, None]
-        flat_x, flat_a = x.ravel(), da_all.reshape(-1, 3 * h)
+            d = dstates[t]
+            d += carry
+            dg, dc = dg_all[t], da_c[t]
+            np.multiply(d, by_c[t], out=dc)
+            np.multiply(d, by_z[t], out=dg[:, :h])
+            np.multiply(dc, by_r[t], out=dg[:, h : 2 * h])
+            np.multiply(dc, r[t], out=dg[:, 2 * h :])
+            carry = dg @ back
+            d *= rest[t]
+            carry += d
+            if some[t]:
+                carry[first[t]] = 0
+        g["u"] += before.reshape(-1, h).T @ dg_all.reshape(-1, 3 * h)
+        dg_all[:, :, 2 * h :] = da_c
+        flat_x, flat_a = x.ravel(), dg_all.reshape(-1, 3 * h)
         g["b"] += flat_a.sum(0)
         seen = flat_x >= 0
         tokens, a = flat_x[seen], flat_a[seen]

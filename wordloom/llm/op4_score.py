@@ -28,10 +28,8 @@ from .common import saved, small_batches
 from .gru import Adagrad, Model, lanes
 
 END = b"\n"
-FREQUENT, SUFFIXES, KNOWN = 511, 64, 150_000
-HIDDEN, CLASSES, LANES, STEPS = 10, 24, 512, 32
-#: Tokens after which training lets a document's state go; scoring never does.
-PIECE = 2048
+FREQUENT, SUFFIXES, KNOWN = 1023, 64, 150_000
+HIDDEN, CLASSES, LANES, STEPS = 12, 32, 512, 32
 #: Tokens of the documents that run side by side, and distinct words that a task counts before it hands them on.
 BLOCK, FLUSH = 4_000_000, 400_000
 LOG10 = math.log(10)
@@ -161,9 +159,8 @@ def train(docs: DataFrame, sent, start: np.ndarray, rate: float) -> np.ndarray:
         ids, n = [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                own = v.tokens(tokens(text))
-                ids += [own[a : a + PIECE] for a in range(0, len(own), PIECE)]
-                n += len(own)
+                ids.append(v.tokens(tokens(text)))
+                n += len(ids[-1])
             if n >= BLOCK:
                 fit(ids)
                 done += n

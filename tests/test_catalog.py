@@ -138,6 +138,28 @@ def test_plain_distance_in_the_jvm(spark):
     assert all(abs(r.d - m.distance(r.q, r.c)) < 1e-9 for r in df.collect())
 
 
+def test_fuzzy_search_finds_all_pairs(spark, tmp_path):
+    rnd = random.Random(9)
+    some = lambda n: sorted({"".join(rnd.choice(["th", "t", "ti", "te", "ou", "o", "en", "in", "ng", "h", "a"]) for _ in range(rnd.randint(1, 5))) for _ in range(n)})
+    queries, lexicon = ["ththin", "tionen", *some(60)], ["ththen", "tionin", *some(140)]
+    spark.createDataFrame([(1, " ".join(queries))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, w) for i, w in enumerate(lexicon)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.q, r.term): r.distance for r in catalog.fuzzy_search(spark, str(tmp_path)).collect()}
+    m = D.Metric(catalog.RULES)
+    every = {(q, t): m.distance(q, t) for q in set(queries) for t in {*queries, *lexicon}}
+    assert got == {(q, t): x for (q, t), x in every.items() if x <= min(max(0.2 + 0.15 * len(q), 0.3), 1.6) + 1e-9 and x / max(len(q), len(t)) <= 0.3 + 1e-9}
+    assert all(r.q != r.term for r in catalog.neighbors(spark, str(tmp_path)).collect())
+
+
+def test_folding_makes_rules_free():
+    rnd = random.Random(5)
+    for _ in range(100):
+        m = D.Metric(some_rules(rnd))
+        fold = m.fold()
+        for r in m.rules:
+            assert "".join(fold.get(c, c) for c in r.source) == "".join(fold.get(c, c) for c in r.target)
+
+
 def test_rules_are_checked():
     for bad in (("a", "a", 0.1, "any"), ("a", "b", -1, "any"), ("a", "b", 0.1, "middle")):
         with pytest.raises(ValueError):

@@ -133,6 +133,33 @@ class Metric:
             i, j = a, b
         return out[::-1]
 
+    def fold(self) -> dict[str, str]:
+        """What becomes of each character that rules or boundaries touch, a character or nothing, so that both sides of any
+        rule become the same text. Other characters stay, so a plain edit is one edit of folded texts at most."""
+        up: dict[str, str] = {}
+
+        def root(c: str) -> str:
+            while c in up:
+                c = up[c]
+            return c
+
+        def same(a: str, b: str) -> None:
+            a, b = sorted((root(a), root(b)), reverse=True)  # nothing sorts first, so it stays a root
+            if a != b:
+                up[a] = b
+
+        for r in self.rules:
+            s, t = r.source, r.target
+            while s and t and s[0] == t[0]:
+                s, t = s[1:], t[1:]
+            while s and t and s[-1] == t[-1]:
+                s, t = s[:-1], t[:-1]
+            for a, b in zip(s, t) if len(s) == len(t) else ((c, "") for c in s + t):
+                same(a, b)
+        for c in self.costs.boundary:
+            same(c, "")
+        return {c: root(c) for c in up}
+
     def mirror(self) -> "Metric":
         """The metric on reversed strings."""
         turn = {"initial": "final", "final": "initial", "any": "any"}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.distance import EPSILON, Metric, normalized, weighted_distance
 from .index import grams
 
 #: (kind, form) of affixes, for stripping.
@@ -83,6 +84,39 @@ def blocked(queries: DataFrame, terms: DataFrame, top: int) -> DataFrame:
     return both.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("shared"), "term"))).filter(F.col("place") <= top)
 
 
+def shortened(words: DataFrame, edits: int) -> DataFrame:
+    """The rows of words (with a column key) with gram, the key less any `left` of its characters, for 0 to edits, each gram once."""
+    level = words.withColumns({"gram": F.col("key"), "left": F.lit(0)})
+    out = level
+    for n in range(1, edits + 1):
+        less = F.transform(F.sequence(F.lit(1), F.length("gram")), lambda i: F.concat(F.substring("gram", F.lit(1), i - 1), F.substring("gram", i + 1, F.length("gram"))))
+        level = level.filter(F.length("gram") > 0).withColumn("gram", F.explode(less)).withColumn("left", F.lit(n))
+        out = out.unionByName(level)
+    return out.groupBy(*words.columns, "gram").agg(F.min("left").alias("left"))
+
+
+def within(queries: DataFrame, terms: DataFrame, metric: Metric, most: Column, limit: float, normal: float) -> DataFrame:
+    """q, term, distance: all terms within a weighted distance of `most` (of q, limit at most) and, divided by the longer length, of `normal`.
+
+    Each plain edit costs at least `plain`, so a term within the distance is at most most/plain plain edits away; rules
+    don't change folded texts (Metric.fold). Two texts at most n edits apart become equal when up to n characters are taken
+    from each, so this equi-join finds every such term; edits of the folded texts and the distance itself then decide."""
+    plain = min(metric.costs.substitute, metric.costs.delete, metric.costs.insert)
+    fold = metric.fold()
+    kept = [c for c in fold if fold[c]]
+    key = lambda c: F.translate(c, "".join([*kept, *(c for c in fold if not fold[c])]), "".join(fold[c] for c in kept))
+    edits = F.floor((F.least(most, F.lit(limit)) + EPSILON) / plain)
+    n = int((limit + EPSILON) / plain)
+    a = shortened(queries.select("q", key(F.col("q")).alias("key"), most.alias("most"), edits.alias("edits")), n).filter("left <= edits")
+    b = shortened(terms.select("term", key(F.col("term")).alias("key")), n)
+    pairs = a.alias("a").join(b.alias("b"), F.col("a.gram") == F.col("b.gram")).filter(F.col("b.left") <= F.col("edits"))
+    pairs = pairs.filter(F.levenshtein("a.key", "b.key") <= F.col("edits")).select("q", "term", "most").distinct()
+    # Distances cost more than their few bytes tell, so pairs are spread by number.
+    pairs = pairs.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    d = pairs.withColumn("distance", weighted_distance(metric)("q", "term"))
+    return d.filter((F.col("distance") <= F.least("most", F.lit(limit)) + EPSILON) & (normalized(F.col("distance"), F.col("q"), F.col("term"), "max") <= normal + EPSILON)).select("q", "term", "distance")
+
+
 def cost_table(counts: DataFrame, beta: float = 1.0) -> DataFrame:
     """a, b, s, w, cost: minus log of the share of w among what s corresponds to, smoothed towards identity. counts: a, b, s, w, n, with an
     empty s or w for nothing."""

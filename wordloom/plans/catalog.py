@@ -325,16 +325,16 @@ RULES = D.expand([D.Rule("th", "t", 0.1), D.Rule("ou", "o", 0.2), D.Rule("n", "n
 
 @query()
 def fuzzy_search(s, d):
-    """Weighted distances with rules over blocked candidates, within the normal threshold."""
-    f = D.weighted_distance(D.Metric(RULES))
-    c = candidates(s, d, 30).withColumn("distance", f("q", "term"))
-    return c.filter((F.col("distance") <= I.thresholds(F.col("q"))["max_normal"] + 1e-9) & (D.normalized(F.col("distance"), F.col("q"), F.col("term"), "max") <= 0.3 + 1e-9)).select("q", "term", "distance")
+    """All terms of documents and benchmark items within the normal threshold of each benchmark word, itself too, by distances with rules."""
+    q = words(s, d)
+    lexicon = terms(s, d).union(q).distinct()
+    return R.within(q, lexicon, D.Metric(RULES), I.thresholds(F.col("q"))["max_normal"], 1.6, 0.3)
 
 
 @query()
 def neighbors(s, d):
-    """The nearest twenty of each word, with the steps that lead to them."""
-    return R.spread_cut(fuzzy_search(s, d), 0.6).withColumn("steps", D.alignment(D.Metric(RULES))("q", "term"))
+    """The other terms within 0.6 of each word's nearest, with the steps that lead to them."""
+    return R.spread_cut(fuzzy_search(s, d).filter("q <> term"), 0.6).withColumn("steps", D.alignment(D.Metric(RULES))("q", "term"))
 
 
 @query()

@@ -394,6 +394,19 @@ def test_boilerplate_of_a_host(spark):
     assert {r.doc_id for r in kept.collect()} == {*range(100, 160), *range(300, 340)}
 
 
+def test_boilerplate_lines_are_taken_out(spark):
+    rnd = random.Random(4)
+    body = [prose(rnd, 70) for _ in range(60)]
+    rows = [(i, f"{LINE}\n{t}\n\n  {LINE.upper()}\nend", "h", 1) for i, t in enumerate(body)] + [(100, LINE + "\n" + body[0], "other", 1)]
+    rows += [(200 + i, LINE + "\n" + prose(rnd, 49), "h", 1) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    out = {r.doc_id: r for r in op10_quality.keep_good(docs).collect()}
+    assert {i: out[i].text for i in range(60)} == {i: f"{t}\n\nend" for i, t in enumerate(body)}
+    assert all(out[i].n_chars == len(out[i].text) for i in range(60))
+    assert (out[100].text, out[100].n_chars) == (rows[60][1], 1)
+    assert not {200, 201, 202} & {*out}
+
+
 def test_native_operators_have_no_python(docs):
     for df in (op6_lines.line_report(docs), op10_quality.quality_report(docs)):
         assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().toString())

@@ -72,7 +72,7 @@ def host_lines(docs: DataFrame) -> DataFrame:
 
 
 def depleted(docs: DataFrame, share: float = SHARE, few: int = FEW) -> DataFrame:
-    """did, gone: the words that each document loses with its host's boilerplate lines. Only keys above the limits, few by their
+    """did, gone, drops: the words that each document loses with its host's boilerplate lines, and these lines' keys. Only keys above the limits, few by their
     definition (at most 1/share for each place in a document), are joined back to the lines; lines are counted once a
     document, pre-aggregated before the shuffle."""
     hosts = docs.groupBy(F.col("source").alias("host")).agg(F.count_distinct("doc_id").alias("docs"))
@@ -80,11 +80,11 @@ def depleted(docs: DataFrame, share: float = SHARE, few: int = FEW) -> DataFrame
     often = per.groupBy("host", F.col("h.a").alias("a"), F.col("h.b").alias("b")).agg(F.count("*").alias("n")).filter(F.col("n") > few)
     often = often.alias("o").join(hosts.alias("s"), F.col("o.host").eqNullSafe(F.col("s.host"))).filter(F.col("n") > F.col("docs") * share).select("o.host", "a", "b")
     x = host_lines(docs).alias("l").join(often.alias("f"), (F.col("l.a") == F.col("f.a")) & (F.col("l.b") == F.col("f.b")) & F.col("l.host").eqNullSafe(F.col("f.host")))
-    return x.groupBy("l.did").agg(F.sum("l.w").cast("long").alias("gone"))
+    return x.groupBy("l.did").agg(F.sum("l.w").cast("long").alias("gone"), F.collect_set(F.struct("l.a", "l.b")).alias("drops"))
 
 
 def judge(docs: DataFrame, share: float = SHARE, few: int = FEW) -> DataFrame:
-    """docs with one more column, m under own_names(docs): a struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and
+    """docs with two more columns, drops (keys of the boilerplate lines of this document, or null) and m under own_names(docs): a struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and
     n_boilerplate_words.
 
     Base: fewer than MIN_WORDS words, or over MAX_REPEAT per cent of them in repeated 3-word windows, fails. Method: lines
@@ -95,13 +95,13 @@ def judge(docs: DataFrame, share: float = SHARE, few: int = FEW) -> DataFrame:
     empty table gives no rows. The limit is a share of the host, so copies of one document, however many, are no
     boilerplate unless they fill a fifth of the host; removing copies is another operator's task."""
     p = own_names(docs)
-    lost = depleted(docs.select("doc_id", "source", "text"), share, few).withColumnsRenamed({"did": f"{p}did", "gone": f"{p}gone"})
+    lost = depleted(docs.select("doc_id", "source", "text"), share, few).withColumnsRenamed({"did": f"{p}did", "gone": f"{p}gone", "drops": f"{p}drops"})
     m = measures(docs, p).join(lost, F.col("doc_id") == F.col(f"{p}did"), "left")
     n, repeats = F.col(f"{p}w")["n"], F.col(f"{p}w")["r"]
     failed = (n < MIN_WORDS) | (100 * repeats > MAX_REPEAT * n)
     gone = F.least(F.coalesce(F.col(f"{p}gone"), F.lit(0)), n)
     found = F.struct(n.alias("n_words"), *(F.col(p + c).alias(c) for c in ("word_chars", "n_symbols", "n_dup_lines")), repeats.alias("n_repeat_words"), failed.alias("base_failed"), (~failed & (gone <= DEPLETED * n)).alias("kept"), gone.alias("n_boilerplate_words"))
-    return m.select(*(F.col(f"`{c}`") for c in docs.columns), found.alias(f"{p}m"))
+    return m.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(f"{p}drops"), found.alias(f"{p}m"))
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
@@ -111,8 +111,19 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with their own columns."""
-    return judge(docs).filter(F.col(f"{own_names(docs)}m")["kept"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The documents that the rules keep, with their own columns, without their hosts' boilerplate lines. A column n_chars
+    is set anew where lines go. A document is judged by the base rules again on what is left, so that none stays that is too short by then."""
+    p = own_names(docs)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    kept = judge(docs).filter(F.col(f"{p}m")["kept"])
+    drops = F.col(f"{p}drops")
+    stays = lambda x: ~((F.length(F.btrim(x, F.lit(SPACES))) >= KEY_CHARS) & F.array_contains(drops, key_hash(line_key(x))))
+    less = F.array_join(F.filter(lines_of(F.col("text")), stays), "\n")
+    out = kept.withColumn("text", F.when(drops.isNull(), F.col("text")).otherwise(less))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(drops.isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
+    again = bound(words_of(F.col("text")), lambda w: (F.size(w) >= MIN_WORDS) & (100 * repeat_words(w) <= MAX_REPEAT * F.size(w)))
+    return out.filter(F.when(drops.isNull(), F.lit(True)).otherwise(again)).select(*own)
 
 
 ORACLE = r"""

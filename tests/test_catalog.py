@@ -138,6 +138,14 @@ def test_plain_distance_in_the_jvm(spark):
     assert all(abs(r.d - m.distance(r.q, r.c)) < 1e-9 for r in df.collect())
 
 
+def test_contexts_of_every_word(spark, tmp_path):
+    text = "the cat saw the cat near a big elephant".split()
+    spark.createDataFrame([(1, "cat the elephant")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(7, " ".join(text))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.pos, r.word, r.left, r.right) for r in catalog.QUERIES["kwic_all_words"](spark, str(tmp_path)).collect())
+    assert got == [(i, w, " ".join(text[max(0, i - 3) : i][::-1]), " ".join(text[i + 1 : i + 4])) for i, w in enumerate(text) if w in ("cat", "the", "elephant")]
+
+
 def test_fuzzy_search_finds_all_pairs(spark, tmp_path):
     rnd = random.Random(9)
     some = lambda n: sorted({"".join(rnd.choice(["th", "t", "ti", "te", "ou", "o", "en", "in", "ng", "h", "a"]) for _ in range(rnd.randint(1, 5))) for _ in range(n)})

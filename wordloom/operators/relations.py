@@ -86,12 +86,13 @@ def blocked(queries: DataFrame, terms: DataFrame, top: int) -> DataFrame:
 
 def shortened(words: DataFrame, edits: int) -> DataFrame:
     """The rows of words (with a column key) with gram, the key less any `left` of its characters, for 0 to edits, each gram once."""
-    level = words.withColumns({"gram": F.col("key"), "left": F.lit(0)})
-    out = level
-    for n in range(1, edits + 1):
-        less = F.transform(F.sequence(F.lit(1), F.length("gram")), lambda i: F.concat(F.substring("gram", F.lit(1), i - 1), F.substring("gram", i + 1, F.length("gram"))))
-        level = level.filter(F.length("gram") > 0).withColumn("gram", F.explode(less)).withColumn("left", F.lit(n))
-        out = out.unionByName(level)
+    less = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    levels = [F.array("key")]
+    for _ in range(edits):
+        levels.append(F.array_distinct(F.flatten(F.transform(F.filter(levels[-1], lambda w: w != ""), less))))
+    # All in one row: a union of levels would read and split the words' source once for each.
+    each = F.concat(*(F.transform(x, lambda w, n=n: F.struct(w.alias("gram"), F.lit(n).alias("left"))) for n, x in enumerate(levels)))
+    out = words.withColumn("e", F.explode(each)).select(*words.columns, "e.gram", "e.left")
     return out.groupBy(*words.columns, "gram").agg(F.min("left").alias("left"))
 
 

@@ -149,7 +149,7 @@ def test_contexts_of_every_word(spark, tmp_path):
 def test_fuzzy_search_finds_all_pairs(spark, tmp_path):
     rnd = random.Random(9)
     some = lambda n: sorted({"".join(rnd.choice(["th", "t", "ti", "te", "ou", "o", "en", "in", "ng", "h", "a"]) for _ in range(rnd.randint(1, 5))) for _ in range(n)})
-    queries, lexicon = ["ththin", "tionen", *some(60)], ["ththen", "tionin", *some(140)]
+    queries, lexicon = ["ththin", "tionen", "elaborated", *some(60)], ["ththen", "tionin", "elaboratad", *some(140)]
     spark.createDataFrame([(1, " ".join(queries))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(i, w) for i, w in enumerate(lexicon)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r.q, r.term): r.distance for r in catalog.fuzzy_search(spark, str(tmp_path)).collect()}

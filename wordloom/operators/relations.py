@@ -91,7 +91,8 @@ def shortened(words: DataFrame, edits: int) -> DataFrame:
     for _ in range(edits):
         levels.append(F.array_distinct(F.flatten(F.transform(F.filter(levels[-1], lambda w: w != ""), less))))
     # All in one row: a union of levels would read and split the words' source once for each.
-    each = F.concat(*(F.transform(x, lambda w, n=n: F.struct(w.alias("gram"), F.lit(n).alias("left"))) for n, x in enumerate(levels)))
+    at = lambda n: lambda w: F.struct(w.alias("gram"), F.lit(n).alias("left"))
+    each = F.concat(*(F.transform(x, at(n)) for n, x in enumerate(levels)))
     out = words.withColumn("e", F.explode(each)).select(*words.columns, "e.gram", "e.left")
     return out.groupBy(*words.columns, "gram").agg(F.min("left").alias("left"))
 

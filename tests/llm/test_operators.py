@@ -218,33 +218,81 @@ def test_lanes_carry_whole_documents():
 def test_decontamination(spark, docs, rows, empty):
     rnd = random.Random(3)
     by = dict((i, t) for i, t, _ in rows)
-    items = [(1, by[0][10:220]), (10, " ".join(by[0].split()[30:45])), (2, "one TWO"), (3, None), (4, ""), (5, "..."), (6, prose(rnd, 20)), (7, "one two")]
+    items = [(1, by[0][10:220]), (10, " ".join(by[0].split()[30:75])), (2, "one TWO"), (3, None), (4, ""), (5, "..."), (6, prose(rnd, 20)), (7, "one two"), (8, "word " * 9)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    want = sorted(op5_decontaminate.brute_force([(i, t if t is None or len(t) < 9000 else t[:0]) for i, t, _ in rows], items), key=repr)
-    small = table(spark, [(i, t if t is None or len(t) < 9000 else "", s) for i, t, s in rows])
+    want = sorted(op5_decontaminate.brute_force([(i, t) for i, t, _ in rows], items), key=repr)
     names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    assert got(op5_decontaminate.contamination(small, bench), *names) == want
-    assert got(op5_decontaminate.contamination(small, bench, block_bytes=60), *names) == want
+    out = op5_decontaminate.contamination(docs, bench)
+    assert got(out, *names) == want
+    assert got(op5_decontaminate.contamination(docs, bench, block_bytes=60), *names) == want
+    spans = {r.doc_id: r.spans for r in out.collect()}
+    texts = {i: op5_decontaminate.words(t) for i, t in items}
+    for i, found in spans.items():
+        w = op5_decontaminate.words(by[i])
+        for x in found:
+            assert w[x.word : x.word + x.length] == texts[x.item_id][x.item_word : x.item_word + x.length]
+    assert max(x.length for x in spans[0]) == 45 and not spans[30] and {r.doc_id: r.longest_match for r in out.collect()}[0] == 45
     left = op5_decontaminate.remove_contaminated(docs, bench)
-    assert left.columns == docs.columns and {0, 20, 21, 23, 33, 34}.isdisjoint({r.doc_id for r in left.collect()})
+    hit = {r[0] for r in want if r[3] and r[0] is not None}
+    assert left.columns == docs.columns and hit >= {0, 20, 21, 23, 33, 34, 50}
+    assert Counter(r.doc_id for r in left.collect()) == Counter(i for i, _, _ in rows if i not in hit)
     assert op5_decontaminate.contamination(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
     assert op5_decontaminate.contamination(empty, bench).count() == 0
+    assert op5_decontaminate.remove_contaminated(empty, bench).count() == 0
+
+
+def longest_by_hand(texts, docs, window):
+    """(document, word) -> words of the longest match that begins there."""
+    out = {}
+    for d, doc in enumerate(docs):
+        w = op5_decontaminate.words(doc)
+        for p in range(len(w)):
+            for x in map(op5_decontaminate.words, texts):
+                need = min(window, len(x))
+                for i in range(len(x) if len(x) >= window else min(1, len(x))):
+                    m = 0
+                    while i + m < len(x) and p + m < len(w) and x[i + m] == w[p + m]:
+                        m += 1
+                    if m >= need:
+                        out[d, p] = max(m, out.get((d, p), 0))
+    return out
 
 
-def test_suffix_array_against_brute_force():
+def test_longest_matches_of_a_suffix_array():
     rnd = random.Random(3)
-    for _ in range(60):
+    for _ in range(120):
         v = [chr(97 + i) for i in range(rnd.choice([2, 3, 6]))] + ["zz"]
         mk = lambda n: " ".join(rnd.choice(v) for _ in range(n))
-        items = op5_decontaminate.Items(8)
-        texts = [mk(rnd.choice([3, 8, 9, 12, 20])) for _ in range(3)]
+        items = op5_decontaminate.Items(rnd.choice([3, 8]))
+        texts = [mk(rnd.choice([0, 1, 2, 8, 9, 12, 50])) for _ in range(4)]
         for k, t in enumerate(texts):
             items.add(k, t)
-        docs = [mk(30) + " " + rnd.choice(texts), mk(5), None]
-        for k, i, d, p, m in op5_decontaminate.longest_matches(docs, items):
-            a, b = op5_decontaminate.words(texts[k]), op5_decontaminate.words(docs[d])
-            assert a[i : i + m] == b[p : p + m]
-            assert i + m == len(a) or p + m == len(b) or a[i + m] != b[p + m]
+        items.freeze()
+        docs = [mk(60) + " " + rnd.choice(texts) + " new " + rnd.choice(texts), mk(5), None, rnd.choice(texts)]
+        flat, starts = [], []
+        for t in docs:
+            starts.append(len(flat))
+            flat += [*(items.number.get(w, 0) for w in op5_decontaminate.words(t)), 0]
+        flat = np.array(flat, np.int64)
+        _, _, place, longest = op5_decontaminate.matches(flat, items)
+        out = {}
+        for p, n, q in zip(place.tolist(), *(longest.tolist() if len(place) else ([], []))):
+            assert (items.flat[q : q + n] == flat[p : p + n]).all()
+            d = max(k for k, a in enumerate(starts) if a <= p)
+            out[d, p - starts[d]] = n
+        assert out == longest_by_hand(texts, docs, items.window)
+
+
+def test_suffix_array_is_sorted():
+    rnd = np.random.default_rng(4)
+    for top, n in ((1, 300), (3, 2000), (3000, 2000)):
+        ids = rnd.integers(0, top + 1, n)
+        ids[100:200] = ids[:100]
+        a = op5_decontaminate.SuffixArray(ids, 256, top)
+        tail = lambda p: ids[p : p + int(np.flatnonzero(np.append(ids[p:], 0) == 0)[0])].tolist()[:256]
+        assert sorted(a.at.tolist()) == np.flatnonzero(ids).tolist()
+        found = [tail(p) for p in a.at.tolist()]
+        assert found == sorted(found)
 
 
 def test_line_dedup(docs, rows, empty):

@@ -398,12 +398,69 @@ STORY = " ".join(["Long text of the real story goes on and on with many words."]
         ("", ""),
         (None, ""),
         ("<a href='x>broken <p>text", "broken\n\ntext"),
+        (f"<body><article>{PARA}<div class='social-science'><p>Kept.</p></div>{PARA}</article></body>", f"{STORY}\n\nKept.\n\n{STORY}"),
+        (f"<body><div class=ad/>buy now</div><div class=x>{PARA}<p>see <a href=http://x.com/>this</a> too</p></div></body>", f"{STORY}\n\nsee this too"),
+        (f"<body><div class=m><ul><li><a href=1>one</a><li><a href=2>two</a></ul></div><div class=x>{PARA}{PARA}<p>Short.</p></div></body>", f"{STORY}\n\n{STORY}\n\nShort."),
+        (f"<body><div class=x>{PARA}<ul><li><a href=1>more</a><li><a href=2>links</a></ul>{PARA}</div></body>", f"{STORY}\n\n{STORY}"),
     ],
 )
 def test_main_text(html, text):
     assert op9_html.main_text(html).replace("unclosed", "broken") == text if "broken" not in (html or "") else op9_html.main_text(html).endswith("text")
 
 
+def composite_by_hand(tree, k):
+    """Density of node k by a plain walk of its subtree."""
+    below = [j for j in range(len(tree.tag)) if j and tree.parent[j] == k and not tree.skip[j]]
+    linked = lambda j: j > 0 and (tree.tag[j] == "a" or linked(tree.parent[j]))
+    size = lambda j: sum(len("".join(t.split())) for i, t in tree.pieces if i == j and t is not None)
+
+    def walk(j):
+        c, t, lc, lt = size(j), 0, size(j) * linked(j), 0
+        for i in range(1, len(tree.tag)):
+            if tree.parent[i] == j and not tree.skip[i]:
+                a, b, x, y = walk(i)
+                c, t, lc, lt = c + a, t + b + 1, lc + x, lt + y + (tree.tag[i] == "a")
+        return c, t, lc, lt
+
+    every = sum(len("".join(t.split())) for _, t in tree.pieces if t is not None)
+    links = sum(len("".join(t.split())) for i, t in tree.pieces if t is not None and linked(i))
+
+    def dense(c, t, lc, lt):
+        if not c:
+            return 0.0
+        t = max(1, t)
+        base = math.log(c * lc / max(1, c - lc) + links / max(1, every) * c + math.e)
+        inner = (c * t) / (max(1, lc) * max(1, lt))
+        return c / t * math.log(inner, base) if base > 1 and inner > 1 else c / t - lc / t
+
+    weigh = lambda j: op9_html.DOUBT if tree.doubt[j] else 1
+    total = dense(size(k), 1, size(k) * (tree.tag[k] == "a"), 0) * weigh(k) + sum(dense(*walk(j)) * weigh(j) for j in below if tree.tag[j] != "a")
+    return dense(*walk(k)) * weigh(k), total
+
+
+def test_densities_against_a_plain_walk(spark):
+    rnd = random.Random(6)
+
+    def piece(d):
+        if d > 3 or rnd.random() < 0.3:
+            return "word " * rnd.randrange(6)
+        t = rnd.choice(["div", "p", "a", "span", "section", "ul", "li", "div class=ad", "nav", "form"])
+        return f"<{t}>{''.join(piece(d + 1) for _ in range(rnd.randrange(4)))}</{t.split()[0]}>"
+
+    for _ in range(150):
+        tree = op9_html.Tree("<body>" + "".join(piece(0) for _ in range(4)))
+        found = tree.densities()
+        by_hand = [composite_by_hand(tree, k) for k in range(len(tree.tag))]
+        assert all(tree.skip[k] or abs(found[k] - by_hand[k][0]) < 1e-6 * (1 + found[k]) for k in range(len(found)))
+        top, out = tree.article()
+        core = max((k for k in range(len(found)) if not tree.skip[k]), key=lambda k: (round(by_hand[k][1], 6), -tree.depth[k], -k))
+        up = {core}
+        while core > 0:
+            core = tree.parent[core]
+            up.add(core)
+        assert top in up and not out & {top}
+
+
 def test_pages_table(spark):
     p = spark.createDataFrame([(1, "u", "<p>Tee &lt; x"), (None, None, None), (1, "u", "<p>Tee &lt; x"), (2, "v", "<p>" + "long " * 200_000)], "page_id long, url string, html string")
     out = got(op9_html.extract_pages(p), "page_id", "text", "n_chars")

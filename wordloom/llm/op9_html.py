@@ -1,8 +1,13 @@
 """Main text of web pages by composite text density.
 
 For every node of the document tree: characters per tag, adjusted for how many of both belong to links; a node's density sum adds up
-its children's densities. The node of the largest sum is the article's core. The least density on the path from the body
-to it is the threshold by which the nodes beside it belong to the article too.
+its children's densities, its own text counting as one more child. The node of the largest sum is the article's core. The
+least density on the path from the body to it is the threshold: what stands beside that path belongs to the article if it is
+as dense, else it is left out, and so is a dense list of links inside the core.
+
+Only what can't be an article by its element, role or state is no text from the start (scripts, forms, nav, footers, hidden
+nodes), and reader comments, which are as dense as any article. Other names of classes decide nothing alone: a node whose whole
+class or id is a usual name for adverts and notices counts as less dense.
 """
 
 from __future__ import annotations
@@ -25,19 +30,22 @@ BLOCK = set("address article aside blockquote body caption center dd details dia
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 LISTS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
 SCOPE = {"table", "td", "th", "caption", "object", "button", "template", "html"}
-#: What is never part of an article: elements, roles, and words in class or id.
+#: What is never part of an article: elements, roles, and names of reader comments.
 NOT_TEXT = RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "template", "svg", "canvas", "object", "dialog", "menu", "datalist", "audio", "video", "map"}
 NOT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
-COMMENTS = {"comment", "comments", "commentlist", "disqus", "discussion", "respond", "replies", "reply"}
-NOT_WORDS = COMMENTS | set("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget toolbar pagination pager copyright".split())
-KEEP = {"html", "body", "main", "article"}
+COMMENTS = {"comment", "comments", "comment-list", "commentlist", "comments-area", "disqus", "disqus_thread", "respond", "replies"}
+#: Whole names that make a node DOUBT times as dense.
+DOUBTFUL = {"ad", "ads", "advert", "adverts", "advertisement", "sponsored", "promo", "sidebar", "menu", "navbar", "breadcrumbs", "cookies", "cookie-notice", "cookie-banner", "notice", "newsletter", "social", "share", "related", "header", "footer"}
+DOUBT = 0.125
+PARAGRAPH = {"p", "li", "td", "th", "tr", "dt", "dd", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 
 
 class Tree:
     """Nodes in document order; pieces: (node, its own text), or (node, None) where the node opens or closes, in page order."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.skip, self.depth = ["html"], [-1], [False], [0]
+        self.tag, self.parent, self.skip, self.depth, self.doubt = ["html"], [-1], [False], [0], [False]
         self.pieces: list[tuple[int, str | None]] = []
         stack, at, n = [0], 0, len(source)
         while True:
@@ -63,12 +71,14 @@ class Tree:
             self.tag.append(name)
             self.parent.append(stack[-1])
             self.depth.append(len(stack))
-            self.skip.append(self.skip[stack[-1]] or self.unwanted(name, attrs or "", stack))
+            skip, doubt = self.judge(name, attrs or "", stack)
+            self.skip.append(self.skip[stack[-1]] or skip)
+            self.doubt.append(self.doubt[stack[-1]] or doubt)
             self.pieces.append((k, None))
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(source, at)
                 at = end.end() if end else n
-            elif name not in VOID and not (attrs or "").endswith("/"):
+            elif name not in VOID:  # in HTML a slash at the end closes nothing
                 stack.append(k)
         self.count()
 
@@ -105,34 +115,37 @@ class Tree:
             self.pieces.append((k, None))
         del stack[j:]
 
-    def unwanted(self, name: str, attrs: str, stack: list[int]) -> bool:
+    def judge(self, name: str, attrs: str, stack: list[int]) -> tuple[bool, bool]:
+        """Whether a node is no text at all, and whether its name is doubtful."""
         if name in NOT_TEXT:
-            return True
-        inside = any(self.tag[k] in ("article", "main") for k in stack)
-        if name == "header" and not inside:
-            return True
+            return True, False
+        if name == "header" and not any(self.tag[k] in ("article", "main") for k in stack):
+            return True, False
         if not attrs.strip():
-            return False
-        a = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(attrs)}
-        words = set(re.split(r"[^a-z0-9]+", html.unescape(f"{a.get('class', '')} {a.get('id', '')}")))
-        if name in KEEP:
-            return name == "article" and bool(words & COMMENTS)
-        if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
-            return True
-        return a.get("role") in NOT_ROLES or bool(words & NOT_WORDS) or ("header" in words and not inside)
+            return False, False
+        a = {k.lower(): html.unescape(v.strip("\"'")).lower() for k, v in _ATTR.findall(attrs)}
+        if name in ("html", "body"):
+            return False, False
+        if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")) or a.get("role") in NOT_ROLES:
+            return True, False
+        names = {*a.get("class", "").split(), a.get("id", "").strip()}
+        return bool(names & COMMENTS), bool(names & DOUBTFUL)
 
     def count(self) -> None:
-        """Characters, tags, and both within links, of each node with all it holds."""
+        """Characters, tags, and both within links, of each node with all it holds; and the share of links in the page."""
         n = len(self.tag)
-        self.chars, self.tags, self.link_chars, self.link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-        link = [False] * n
+        self.chars, self.tags, self.link_chars, self.link_tags, self.own = ([0] * n for _ in range(5))
+        link, page, linked = [False] * n, 0, 0
         for k in range(1, n):
             link[k] = link[self.parent[k]] or self.tag[k] == "a"
         for k, text in self.pieces:
-            if text is not None and not self.skip[k] and (size := len("".join(text.split()))):
-                self.chars[k] += size
-                if link[k]:
-                    self.link_chars[k] += size
+            if text is not None and (size := len("".join(text.split()))):
+                page += size
+                linked += size * link[k]
+                if not self.skip[k]:
+                    self.own[k] += size
+                    self.chars[k] += size
+                    self.link_chars[k] += size * link[k]
         for k in range(n - 1, 0, -1):
             if self.skip[k]:
                 continue
@@ -141,56 +154,67 @@ class Tree:
             self.link_tags[p] += self.link_tags[k] + (self.tag[k] == "a")
             self.chars[p] += self.chars[k]
             self.link_chars[p] += self.link_chars[k]
+        self.share = linked / max(1, page)
+
+    def density(self, c: int, t: int, lc: int, lt: int) -> float:
+        """Composite text density of c characters and t tags, lc and lt of them in links."""
+        if not c:
+            return 0.0
+        t = max(1, t)
+        base = math.log(c / max(1, c - lc) * lc + self.share * c + math.e)
+        rest = c / max(1, lc) * t / max(1, lt)
+        return c / t * math.log(rest) / math.log(base) if base > 1 and rest > 1 else c / t * (1 - lc / c)
 
     def densities(self) -> list[float]:
-        root = max((k for k, t in enumerate(self.tag) if t == "body"), default=0)
-        share = self.link_chars[root] / max(1, self.chars[root])
-        out = []
-        for c, t, lc, lt in zip(self.chars, self.tags, self.link_chars, self.link_tags):
-            if not c:
-                out.append(0.0)
-                continue
-            t, plain = max(1, t), max(1, c - lc)
-            base = math.log(c / plain * lc + share * c + math.e)
-            out.append(c / t * math.log(c / max(1, lc) * t / max(1, lt)) / math.log(base) if base > 1 and c * t > max(1, lc) * max(1, lt) else c / t * (1 - lc / c))
-        return out
+        by = zip(self.chars, self.tags, self.link_chars, self.link_tags, self.doubt)
+        return [self.density(c, t, lc, lt) * (DOUBT if d else 1) for c, t, lc, lt, d in by]
+
+    def linky(self, k: int) -> bool:
+        return 2 * self.link_chars[k] > self.chars[k]
 
-    def article(self) -> int:
-        """The node whose subtree is the main text."""
+    def article(self) -> tuple[int, set[int]]:
+        """The node whose subtree holds the main text, and the nodes in it that are left out."""
         density = self.densities()
-        total = [0.0] * len(density)
+        children: list[list[int]] = [[] for _ in density]
+        total = [self.density(o, 1, o if self.tag[k] == "a" else 0, 0) * (DOUBT if self.doubt[k] else 1) for k, o in enumerate(self.own)]
         for k in range(1, len(density)):
-            if not self.skip[k] and self.tag[k] != "a":
-                total[self.parent[k]] += density[k]
-        # A node's own text, beside its children, is as good as a child of it.
-        own = [0] * len(density)
-        for k, text in self.pieces:
-            if text is not None and not self.skip[k]:
-                own[k] += len("".join(text.split()))
-        score = [s + o if not self.skip[k] else 0.0 for k, (s, o) in enumerate(zip(total, own))]
-        best = max(range(len(score)), key=lambda k: (score[k], -self.depth[k]))
-        while best > 0 and self.tag[best] not in BLOCK:
+            if not self.skip[k]:
+                children[self.parent[k]].append(k)
+                if self.tag[k] != "a":
+                    total[self.parent[k]] += density[k]
+        best = max((k for k in range(len(density)) if not self.skip[k]), key=lambda k: (total[k], -self.depth[k], -k))
+        # A phrase or one paragraph is no article; what holds it is.
+        while best > 0 and (self.tag[best] not in BLOCK or self.tag[best] in PARAGRAPH):
             best = self.parent[best]
         path = [best]
         while path[-1] > 0 and self.tag[path[-1]] != "body":
             path.append(self.parent[path[-1]])
-        for name in ("article", "main"):
-            if found := [k for k in path if self.tag[k] == name]:
-                return found[-1]
         least = min(density[k] for k in path)
+        out, top = set(), best
+        for k in children[best]:
+            if self.tag[k] in BLOCK and (self.linky(k) and self.link_tags[k] and density[k] < least or self.doubt[k] and density[k] < max((total[j] for j in children[best] if j != k), default=0)):
+                out.add(k)
         for k, up in zip(path, path[1:]):
-            if self.tag[best] in ("p", "td", "li", "blockquote", "pre"):
-                best = up
-                continue
-            beside = [j for j in range(len(density)) if self.parent[j] == up and j != k and not self.skip[j] and self.chars[j] and self.tag[j] in BLOCK]
-            if any(density[j] >= least and 2 * self.link_chars[j] <= self.chars[j] for j in beside):
-                best = up
-        return best
+            if self.tag[k] in ("article", "main"):  # what the page itself marks as its article ends there
+                break
+            beside = [j for j in children[up] if j != k and self.chars[j]]
+            dense = {j for j in beside if density[j] >= least and not self.linky(j)}
+            # A heading goes with the text below it; text of the parent itself is text in between.
+            after = k
+            for j in sorted(beside, reverse=True):
+                if j < k and self.tag[j] in HEADINGS and after - j > 0 and not self.doubt[j]:
+                    dense.add(j)
+                elif j < k and j not in dense:
+                    break
+            if dense or self.own[up]:
+                out.update(j for j in beside if j not in dense)
+                top = up
+        return top, out
 
-    def blocks(self, top: int) -> list[str]:
+    def blocks(self, top: int, left_out: set[int]) -> list[str]:
         inside = [False] * len(self.tag)
         for k in range(len(self.tag)):
-            inside[k] = k == top or (k > top and inside[self.parent[k]])
+            inside[k] = k == top or (k > top and inside[self.parent[k]] and k not in left_out)
         out, now = [], []
         for k, text in self.pieces:
             if not inside[k]:
@@ -212,7 +236,7 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     tree = Tree(source)
-    return "\n\n".join(tree.blocks(tree.article()))
+    return "\n\n".join(tree.blocks(*tree.article()))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -314,6 +314,9 @@ def test_line_dedup(docs, rows, empty):
     assert texts[30].text is None and texts[31].text == "" and texts[20].text == "" and texts[20].n_chars == 0
     assert texts[41].text.count("host") == 1 and LINE not in texts[42].text and texts[42].text.startswith("short")
     assert op6_lines.line_report(empty).count() == 0
+    many = "\n".join(f"line number {k} of the text" for k in range(50_000))
+    long = {r.doc_id: r for r in op6_lines.line_report(table(empty.sparkSession, [(1, many, "a"), (2, many + "\nmore", "a")])).collect()}
+    assert long[1].n_dropped == 0 and (long[2].n_lines, long[2].n_dropped, long[2].kept_sha256) == (50_001, 50_000, hashlib.sha256(b"more").hexdigest())
     three = {r.doc_id: r.text for r in op6_lines.dedup_lines(docs, min_docs=3).collect()}
     assert LINE in three[42] and three[23] == ""
 
@@ -490,26 +493,57 @@ def test_quality(spark, docs, rows, empty):
     assert op10_quality.quality_report(empty).count() == 0
 
 
-def test_boilerplate_of_a_host(spark):
+def brute_boilerplate(rows, share=op10_quality.SHARE, few=op10_quality.FEW):
+    """For rows (doc_id, text, host): words and kept text (None if rejected), by plain loops."""
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({i: i + 32 for i in range(65, 91)})
+    holders, hosts = {}, {}
+    for _, t, h in rows:
+        hosts.setdefault(h, set()).add(t or "")
+        for x in (t or "").split("\n"):
+            if len(key(x)) >= 10:
+                holders.setdefault((h, key(x)), set()).add(t or "")
+    out = []
+    for i, t, h in rows:
+        lines = (t or "").split("\n")
+        gone = [i is not None and (n := len(holders.get((h, key(x)), ()))) > few and n > share * len(hosts[h]) for x in lines]
+        w = len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+        less = sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x, g in zip(lines, gone) if g)
+        good = not brute_quality(t)[-1] and 2 * less <= w and (not less or w - less >= 50)
+        out.append((i, less, sum(gone), good, "\n".join(x for x, g in zip(lines, gone) if not g) if good else None))
+    return out
+
+
+def boilerplate_rows():
     rnd = random.Random(4)
-    rows = [(i, "\n".join([LINE] * 9 + [prose(rnd, 20)]), "h") for i in range(60)] + [(100 + i, prose(rnd, 70), "h") for i in range(60)] + [(300 + i, LINE + "\n" + prose(rnd, 70), "other") for i in range(40)]
+    rows = [(i, "\n".join([LINE] * 9 + [prose(rnd, 20)]), "h") for i in range(30)]
+    rows += [(100 + i, f"{LINE}\n{prose(rnd, 70)}\n\n  {LINE.upper()}\nend", "h") for i in range(40)]
+    rows += [(200 + i, LINE + "\n" + prose(rnd, 49), "h") for i in range(3)]
+    rows += [(300 + i, LINE + "\n" + prose(rnd, 70), "other") for i in range(5)] + [(400, LINE + "\n" + prose(rnd, 70), None), (None, LINE + "\n" + prose(rnd, 70), "h")]
+    same = prose(rnd, 60) + "\nThese are copies of one text.\n" + prose(rnd, 60)
+    return rows + [(500 + i, same, "h") for i in range(30)] + [(600, None, "h"), (601, "", None), (602, "\n".join(["a line of many words here"] * 30_000) + prose(rnd, 90_000), "h")]
+
+
+def test_boilerplate_of_a_host(spark):
+    rows = boilerplate_rows()
     docs = table(spark, rows)
+    want = brute_boilerplate(rows)
+    assert got(op10_quality.quality_report(docs), "doc_id", "n_boilerplate_words", "n_boilerplate_lines", "kept") == sorted((w[:4] for w in want), key=repr)
     kept = op10_quality.keep_good(docs)
     assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == {*range(100, 160), *range(300, 340)}
-
-
-def test_boilerplate_lines_are_taken_out(spark):
-    rnd = random.Random(4)
-    body = [prose(rnd, 70) for _ in range(60)]
-    rows = [(i, f"{LINE}\n{t}\n\n  {LINE.upper()}\nend", "h", 1) for i, t in enumerate(body)] + [(100, LINE + "\n" + body[0], "other", 1)]
-    rows += [(200 + i, LINE + "\n" + prose(rnd, 49), "h", 1) for i in range(3)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
-    out = {r.doc_id: r for r in op10_quality.keep_good(docs).collect()}
-    assert {i: out[i].text for i in range(60)} == {i: f"{t}\n\nend" for i, t in enumerate(body)}
-    assert all(out[i].n_chars == len(out[i].text) for i in range(60))
-    assert (out[100].text, out[100].n_chars) == (rows[60][1], 1)
-    assert not {200, 201, 202} & {*out}
+    out = kept.collect()
+    assert sorted(((r.doc_id, r.text) for r in out), key=repr) == sorted(((w[0], w[4]) for w in want if w[3]), key=repr)
+    assert all(r.n_chars == len(r.text) for r in out)
+    assert {r.doc_id for r in out} == {*range(100, 140), *range(300, 305), 400, None, *range(500, 530)}
+
+
+def test_repeated_rows_change_no_verdict(spark):
+    rows = [r for r in boilerplate_rows() if r[0] != 602]
+    once = {r.doc_id: r for r in op10_quality.quality_report(table(spark, rows)).collect()}
+    thrice = op10_quality.quality_report(table(spark, rows * 3)).collect()
+    assert len(thrice) == 3 * len(rows) and all(r == once[r.doc_id] for r in thrice)
+    # One id with two texts: each row has its own words.
+    two = rows + [(100, prose(random.Random(1), 90), "h")]
+    assert sorted(r.n_boilerplate_lines for r in op10_quality.quality_report(table(spark, two)).collect() if r.doc_id == 100) == [0, 2]
 
 
 def test_native_operators_have_no_python(docs):

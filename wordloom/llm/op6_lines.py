@@ -29,28 +29,38 @@ def line_hashes(text: Column, min_chars: int = MIN_CHARS) -> Column:
     return F.transform(lines_of(text), lambda x: F.when(F.length(F.btrim(x, F.lit(SPACES))) >= min_chars, key_hash(line_key(x))))
 
 
+def text_hash(text: Column) -> Column:
+    """Tells the rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def without(lines: Column, places: Column) -> Column:
+    """The lines whose places (from 0) aren't in an array. array_except hashes, so this is linear in the lines."""
+    return F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places), lambda i: F.get(lines, i))
+
+
 def droppable(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """did, drops: the key hashes whose lines document did loses. Each document's distinct keys are exploded once; counts
-    and smallest ids are pre-aggregated before the shuffle, so a line that a third of the documents share is one row a
-    task. The join back has one row a key on its small side, so that adaptive execution can split a hot key."""
-    keys = docs.select(F.col("doc_id").alias("did"), F.explode(F.array_distinct(F.filter(line_hashes(F.col("text"), min_chars), lambda h: h.isNotNull()))).alias("h")).select("did", F.col("h.a").alias("a"), F.col("h.b").alias("b"))
+    """did, t, drops: the places of the lines that a row of document did with text hash t loses. Lines are exploded with their
+    places, and counts and smallest ids are pre-aggregated before the shuffle, so a line that a third of the documents
+    share is one row a task. The join back has one row a key on its small side, so that adaptive execution can split a hot key."""
+    rows = docs.select(F.col("doc_id").alias("did"), text_hash(F.col("text")).alias("t"), F.posexplode(line_hashes(F.col("text"), min_chars)).alias("pos", "h")).filter(F.col("h").isNotNull() & F.col("did").isNotNull())
+    keys = rows.select("did", "t", "pos", F.col("h.a").alias("a"), F.col("h.b").alias("b"))
     least = F.min("did").alias("first")
     found = keys.groupBy("a", "b")
-    if min_docs == 2:  # two documents are enough: the smallest and the largest id tell
+    if min_docs == 2:  # two distinct documents or more: the smallest and the largest id tell
         found = found.agg(least, F.max("did").alias("last")).filter("first < last")
     else:
         found = keys.groupBy("a", "b", "did").agg(F.lit(1).alias("one")).groupBy("a", "b").agg(least, F.count("*").alias("n")).filter(F.col("n") >= min_docs)
-    return keys.join(found.select("a", "b", "first"), ["a", "b"]).filter("did > first").groupBy("did").agg(F.collect_set(F.struct("a", "b")).alias("drops"))
+    return keys.join(found.select("a", "b", "first"), ["a", "b"]).filter("did > first").groupBy("did", "t").agg(F.collect_set("pos").alias("drops"))
 
 
 def with_kept(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with two more columns, n_lines and kept (array of the lines that stay, in order), under own_names(docs)."""
     p = own_names(docs)
-    drops = droppable(docs, min_chars, min_docs).withColumnsRenamed({"did": f"{p}did", "drops": f"{p}drops"})
-    joined = docs.join(drops, F.col("doc_id") == F.col(f"{p}did"), "left")
+    drops = droppable(docs.select("doc_id", "text"), min_chars, min_docs).withColumnsRenamed({"did": f"{p}did", "t": f"{p}t", "drops": f"{p}drops"})
+    joined = docs.join(drops, (F.col("doc_id") == F.col(f"{p}did")) & (text_hash(F.col("text")) == F.col(f"{p}t")), "left")
     lines, gone = lines_of(F.col("text")), F.col(f"{p}drops")
-    stays = lambda x: ~F.coalesce((F.length(F.btrim(x, F.lit(SPACES))) >= min_chars) & F.array_contains(gone, key_hash(line_key(x))), F.lit(False))
-    kept = F.when(gone.isNull(), lines).otherwise(F.filter(lines, stays))
+    kept = F.when(gone.isNull(), lines).otherwise(without(lines, gone))
     return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.size(lines).cast("long").alias(f"{p}n_lines"), kept.alias(f"{p}kept"))
 
 

@@ -163,20 +163,84 @@ def test_score_beats_counts_on_held_out_documents(spark):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
-def test_training_carries_the_state_over_whole_documents(spark, monkeypatch, tmp_path):
-    long = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 > 1)
-    whole = gru.lanes
+def scores_step_by_step(rows, v, vector):
+    """log10 probability of each row's text under the model of op4_score, one document and one token at a time, in 64 bits."""
+    m = v.model().load(vector)
+    p = {k: x.astype(np.float64) for k, x in m.p.items()}
+    h = m.hidden
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    soft = lambda x: x - x.max() - math.log(np.exp(x - x.max()).sum())
+    out = []
+    for t in rows:
+        state, total, before = np.zeros(h), 0.0, None
+        for w in op4_score.tokens(t):
+            a = p["b"] + (p["emb"][before] @ p["w"] if before is not None else 0)
+            g = state @ p["u"]
+            z, r = sig(a[:h] + g[:h]), sig(a[h : 2 * h] + g[h : 2 * h])
+            c = np.tanh(a[2 * h :] + r * g[2 * h :])
+            state = state + z * (c - state)
+            y = v.frequent.get(w)
+            if y is None:
+                y = int(v.of_suffix[op4_score.suffix(w)])
+                n = v.index.get(w)
+                total += math.log10((0 if n is None else v.every[w]) + 0.1) - v.inside[op4_score.suffix(w)]
+            k = m.of[y]
+            lo, hi = m.first[k], m.last[k]
+            log = soft(state @ p["oc"] + p["bc"])[k]
+            if hi - lo > 1:
+                log += soft(p["ow"][lo:hi] @ state + p["bw"][lo:hi])[y - lo]
+            total += log / math.log(10)
+            before = y
+        out.append(total)
+    return out
+
+
+def test_scores_are_the_models_step_by_step(spark, rows, monkeypatch):
+    kept = {}
+    score = op4_score.score
+
+    def spy(encoded, sent, vector):
+        kept.update(v=sent.value, vector=vector)
+        return score(encoded, sent, vector)
+
+    monkeypatch.setattr(op4_score, "score", spy)
+    short = [(i, t, s) for i, t, s in rows if i != 50] + [(70, prose(random.Random(7), 3000), "a")]
+    out = got(op4_score.score_documents(table(spark, short)), "doc_id", "score")
+    v = kept["v"]
+    fold = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10
+    v.every = Counter(w for i, t, _ in short if fold(i) for w in op4_score.tokens(t))
+    assert {*v.every} == {*v.index}
+    want = sorted(zip([i for i, _, _ in short], scores_step_by_step([t for _, t, _ in short], v, kept["vector"])), key=repr)
+    for (i, a), (j, b) in zip(sorted(out, key=lambda x: (repr(x[0]), x[1])), sorted(want, key=lambda x: (repr(x[0]), x[1]))):
+        assert i == j and abs(a - b) < 1e-4 * (1 + abs(b))
+
+
+def test_scores_dont_depend_on_partitions(spark):
+    rnd = random.Random(12)
+    docs = table(spark, [(i, prose(rnd, 150), "s") for i in range(200)])
+    one, eight = (dict(got(op4_score.score_documents(docs.repartition(k)), "doc_id", "score")) for k in (1, 8))
+    assert all(abs(one[i] - eight[i]) <= 1e-6 * abs(one[i]) for i in one)
+
+
+def test_known_words_of_equal_counts(spark, monkeypatch):
+    monkeypatch.setattr(op4_score, "KNOWN", 50)
+    counts = spark.createDataFrame([(f"w{i}".encode(), 7 if i < 20 else 3) for i in range(500)], "word binary, c long")
+    v = op4_score.learn(counts)
+    assert {f"w{i}".encode() for i in range(20)} < {*v.index} and 30 <= v.known <= 70
+    monkeypatch.setattr(op4_score, "KNOWN", 10)
+    assert 0 < op4_score.learn(counts).known <= 20
 
-    def spy(docs, width, steps):
-        with open(f"{tmp_path}/sizes", "a") as f:
-            f.writelines(f"{len(d)}\n" for d in docs)
-        yield from whole(docs, width, steps)
 
-    monkeypatch.setattr(op4_score, "lanes", spy)
-    docs = table(spark, [(long, "a b c d e " * 1000, "s")])
+def test_training_carries_the_state_over_whole_documents(spark, monkeypatch):
+    docs = table(spark, [(3, "a b c d e " * 1000, "s")])
     v = op4_score.learn(op4_score.count_words(docs))
-    op4_score.train(docs, spark.sparkContext.broadcast(v), v.model().vector.copy(), 0.05)
-    assert {int(x) for x in (tmp_path / "sizes").read_text().split()} == {5001}
+    (row,) = op4_score.encode(docs, spark.sparkContext.broadcast(v)).collect()
+    seen, whole, gradient = [], gru.lanes, gru.Model.gradient
+    monkeypatch.setattr(op4_score, "lanes", lambda docs, *a: (seen.append([len(d) for d in docs]), whole(docs, *a))[1])
+    states = []
+    monkeypatch.setattr(gru.Model, "gradient", lambda m, x, y, live, state: (states.append(state.copy()), gradient(m, x, y, live, state))[1])
+    assert op4_score.fit(v.model(), [op4_score.numbers(row.ids)], 0.05) == 5001 and seen == [[5001]]
+    assert len(states) == -(-5001 // op4_score.STEPS) and not states[0].any() and all(s.any() for s in states[1:])
     assert (op4_score.FREQUENT, op4_score.HIDDEN, op4_score.CLASSES) == (1023, 12, 32)
 
 

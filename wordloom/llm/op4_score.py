@@ -4,9 +4,12 @@ Counts of all training words are made first. The FREQUENT most frequent words ar
 one of SUFFIXES tokens by its last two bytes, within which its probability comes from the counts. So the model gives a
 probability to every word there can be, known or not, and the score is a proper log probability.
 
-Training reads each training document once, in two rounds: a tenth of the documents from the unigram model on, then all
-others from the average of the first round's models. Each task trains on its own documents, by truncated back-propagation with
-Adagrad; the averages weigh each task's parameters by its tokens and are summed before and after the shuffle like any other sum.
+Documents are turned into token numbers once, and these are written. Training documents fall into shards by a hash of
+doc_id; how many there are depends on their tokens alone, and within a shard documents are in the order of their ids. So the model
+doesn't depend on how files or partitions were cut, and a lost task repeats exactly what it did. Each shard is
+trained on once, by truncated back-propagation with Adagrad, in two rounds: a tenth of the documents from the unigram model on,
+then all others from the average of the first round's models. Averages weigh each shard's parameters by its tokens;
+they are summed as integers, whose sum has no order.
 
 Frequencies of the KNOWN most frequent words are sent to the tasks (a bounded table). Rarer words, a few per cent
 of all, are counted by document and joined to the counts.
@@ -30,8 +33,11 @@ from .gru import Adagrad, Model, lanes
 END = b"\n"
 FREQUENT, SUFFIXES, KNOWN = 1023, 64, 150_000
 HIDDEN, CLASSES, LANES, STEPS = 12, 32, 512, 32
-#: Tokens of the documents that run side by side, and distinct words that a task counts before it hands them on.
-BLOCK, FLUSH = 4_000_000, 400_000
+#: Tokens of a training shard (about) and of the documents that are scored side by side, and distinct words that a task
+#: counts before it hands them on.
+SHARD, BLOCK, FLUSH = 1_000_000, 4_000_000, 400_000
+#: Parameters are averaged to this precision.
+UNIT = 1 << 24
 LOG10 = math.log(10)
 
 
@@ -123,101 +129,132 @@ class Vocabulary:
     def model(self) -> Model:
         return Model(self.counts, HIDDEN, CLASSES)
 
-    def tokens(self, words: list[bytes]) -> np.ndarray:
-        ids = self.token[self.numbers(words)[0]]
-        if END not in self.index:
-            ids[-1] = self.frequent[END]
-        return ids
-
 
 def learn(counts: DataFrame) -> Vocabulary:
-    """Reads the bounded tables off the counts."""
+    """Reads the bounded tables off the counts: the KNOWN most frequent words or, where the last of them are as frequent as
+    others, part of these by a hash."""
     total = counts.agg(F.sum("c"), F.count("*")).first()
-    # The least count with at most KNOWN words at or above it, from how often each count occurs.
+    # From how often each count occurs: the least count all of whose words fit, and how many places are left for the next one.
     often = counts.groupBy("c").agg(F.count("*").alias("words")).withColumn("above", F.sum("words").over(Window.orderBy(F.desc("c"))))
-    least = often.filter(F.col("above") <= KNOWN).agg(F.min("c")).first()[0]
-    top = sorted(counts.filter(F.col("c") >= least).toLocalIterator(), key=lambda r: (-r.c, r.word)) if least else []
+    fit = often.filter(F.col("above") <= KNOWN).agg(F.min("c"), F.max("above")).first()
+    least, taken = fit[0] if fit[0] is not None else float("inf"), fit[1] or 0
+    wanted = F.col("c") >= least
+    if after := often.filter(F.col("above") > KNOWN).orderBy(F.desc("c")).first():
+        share = int((KNOWN - taken) / after.words * 0.9 * (1 << 20))
+        wanted |= (F.col("c") == after.c) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < share)
+    top = sorted(counts.filter(wanted).toLocalIterator(), key=lambda r: (-r.c, r.word))
     by = counts.groupBy((F.crc32(F.substring("word", -2, 2)) % SUFFIXES).alias("s")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
     return Vocabulary([(bytes(r.word), r.c) for r in top], total[0] or 0, total[1], {r.s: (r.c, r.v) for r in by})
 
 
-def train(docs: DataFrame, sent, start: np.ndarray, rate: float) -> np.ndarray:
-    """The average, by tokens, of the models that the tasks train from `start`; start itself where there are no documents."""
+def encode(docs: DataFrame, sent) -> DataFrame:
+    """Per row: doc_id, ids (token numbers as unsigned 16-bit integers), n_tokens, how many are known, the sums over known words
+    of the base and of what the model leaves to counts, and the rarer words with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = sent.value
-        model = v.model().load(start)
-        steps, done = Adagrad(model, rate), 0
+        for batch in batches:
+            part = []
+            for text in batch.column(1).to_pylist():
+                words = tokens(text)
+                at, rare = v.numbers(words)
+                ids = v.token[at].astype("<u2")
+                if END not in v.index:
+                    ids[-1] = v.frequent[END]
+                part.append((ids.tobytes(), len(words), len(words) - len(rare), float(v.log_base[at].sum()), float(v.log_inside[at].sum()), [{"word": w, "k": k} for w, k in Counter(rare).items()]))
+            ids, n, known, base, inside, rare = zip(*part) if part else [()] * 6
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": batch.column(0),
+                    "ids": pa.array(ids, pa.binary()),
+                    "n_tokens": pa.array(n, pa.int64()),
+                    "known": pa.array(known, pa.int64()),
+                    "base": pa.array(base, pa.float64()),
+                    "inside": pa.array(inside, pa.float64()),
+                    "rare": pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))),
+                }
+            )
 
-        def fit(ids: list[np.ndarray]) -> None:
-            state = None
-            for x, y, live, _, width in lanes(ids, LANES, STEPS):
-                state = np.zeros((width, HIDDEN), np.float32) if state is None else state[:width]
-                g, state, _ = model.gradient(x, y, live, state)
-                steps.step(g)
+    assert FREQUENT + SUFFIXES < 1 << 16
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, n_tokens long, known long, base double, inside double, rare array<struct<word:binary,k:long>>")
 
-        ids, n = [], 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                ids.append(v.tokens(tokens(text)))
-                n += len(ids[-1])
-            if n >= BLOCK:
-                fit(ids)
-                done += n
-                ids, n = [], 0
-        fit(ids)
-        done += n
-        if done:
-            yield pa.RecordBatch.from_pydict({"w": pa.array([float(done)]), "v": pa.array([model.vector.astype(np.float64)], pa.list_(pa.float64()))})
 
-    each = docs.select("text").mapInArrow(run, "w double, v array<double>").select("w", F.posexplode("v").alias("i", "x"))
-    rows = each.groupBy("i").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x")).orderBy("i").collect()
-    return np.array([r.x for r in rows], np.float32) if rows else start
+def numbers(ids: bytes) -> np.ndarray:
+    return np.frombuffer(ids, "<u2").astype(np.int32)
 
 
-def score(docs: DataFrame, sent, vector: np.ndarray) -> DataFrame:
-    """Per row: doc_id, the sums over known words and the model, and the rarer words with their counts."""
+def fit(model: Model, docs: list[np.ndarray], rate: float) -> int:
+    """Trains the model on whole documents, each from its first token to its last; how many tokens there were."""
+    steps, state = Adagrad(model, rate), None
+    for x, y, live, _, width in lanes(docs, LANES, STEPS):
+        state = np.zeros((width, HIDDEN), np.float32) if state is None else state[:width]
+        g, state, _ = model.gradient(x, y, live, state)
+        steps.step(g)
+    return sum(map(len, docs))
+
+
+def train(encoded: DataFrame, tokens: int, sent, start: np.ndarray, rate: float) -> np.ndarray:
+    """The average, by tokens, of the models that the shards of encoded documents (of about that many tokens) train from
+    `start`; start itself where there are no documents."""
+    shards = max(1, -(-tokens // SHARD))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = sent.value
-        model = v.model().load(vector)
+        model = v.model()
+        total, done, now, docs = np.zeros(len(start), np.int64), 0, None, []
+
+        def finish() -> None:
+            nonlocal total, done
+            if docs:
+                n = fit(model.load(start), docs, rate)
+                total += np.rint(model.vector.astype(np.float64) * UNIT).astype(np.int64) * n
+                done += n
+
+        for batch in batches:
+            for shard, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if shard != now:
+                    finish()
+                    now, docs = shard, []
+                docs.append(numbers(ids))
+        finish()
+        if done:  # in two halves, so that no sum of these gets too large
+            yield pa.RecordBatch.from_pydict({"w": pa.array([done]), "v": pa.array([np.stack([total >> 24, total & (UNIT - 1)], 1).ravel()], pa.list_(pa.int64()))})
+
+    of = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(shards))
+    dealt = encoded.select(of.alias("shard"), "doc_id", "ids").repartition(min(shards, 4096), "shard").sortWithinPartitions("shard", "doc_id", "ids")
+    each = dealt.select("shard", "ids").mapInArrow(run, "w long, v array<long>").select("w", F.posexplode("v").alias("i", "x"))
+    rows = each.groupBy("i").agg(F.sum("x").alias("x"), F.sum("w").alias("w")).orderBy("i").collect()
+    if not rows:
+        return start
+    return np.array([((a.x << 24) + b.x) / (a.w * UNIT) for a, b in zip(rows[::2], rows[1::2])], np.float32)
+
+
+def score(encoded: DataFrame, sent, vector: np.ndarray) -> DataFrame:
+    """row and score of every encoded row: the natural log probability of its tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value.model().load(vector)
 
-        def rows(part: list) -> pa.RecordBatch:
-            total = np.zeros(len(part))
-            state = None
-            for x, y, live, owner, width in lanes([p[1] for p in part], LANES, STEPS):
+        def rows(keys: list, docs: list) -> pa.RecordBatch:
+            total, state = np.zeros(len(docs)), None
+            for x, y, live, owner, width in lanes(docs, LANES, STEPS):
                 state = np.zeros((width, HIDDEN), np.float32) if state is None else state[:width]
                 log, state = model.window(x, y, live, state)
-                total += np.bincount(owner[live], log[live].astype(np.float64), len(part))
-            rare = [Counter(p[5]) for p in part]
-            return pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": pa.array([p[0] for p in part], pa.int64()),
-                    "n_tokens": pa.array([len(p[1]) for p in part], pa.int64()),
-                    "known": pa.array([p[2] for p in part], pa.int64()),
-                    "base": pa.array([p[3] for p in part], pa.float64()),
-                    "score": pa.array([s / LOG10 + p[4] for s, p in zip(total.tolist(), part)], pa.float64()),
-                    "rare": pa.array([[{"word": w, "k": k} for w, k in r.items()] for r in rare], pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))),
-                }
-            )
+                total += np.bincount(owner[live], log[live].astype(np.float64), len(docs))
+            return pa.RecordBatch.from_pydict({"row": pa.array(keys, pa.int64()), "score": pa.array(total)})
 
-        part, n = [], 0
+        keys, docs, n = [], [], 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = tokens(text)
-                at, rare = v.numbers(words)
-                ids = v.token[at]
-                if END not in v.index:
-                    ids[-1] = v.frequent[END]
-                part.append((key, ids, len(words) - len(rare), float(v.log_base[at].sum()), float(v.log_inside[at].sum()), rare))
-                n += len(words)
+            keys += batch.column(0).to_pylist()
+            docs += [numbers(x) for x in batch.column(1).to_pylist()]
+            n += sum(map(len, docs[len(docs) - batch.num_rows :]))
             if n >= BLOCK:
-                yield rows(part)
-                part, n = [], 0
-        if part:
-            yield rows(part)
+                yield rows(keys, docs)
+                keys, docs, n = [], [], 0
+        if keys:
+            yield rows(keys, docs)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, known long, base double, score double, rare array<struct<word:binary,k:long>>")
+    return encoded.select("row", "ids").mapInArrow(run, "row long, score double")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -225,7 +262,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     Tokens are words between blanks, A-Z lowered, and one end. Documents whose crc32(doc_id as text) mod 10 is 0 are held
     out of all counts and training; a null doc_id counts as the empty text, which is held out. Null and empty texts have only the
-    end. Repeated rows are counted, trained on and scored one by one. Without training documents every base probability is
+    end. Repeated rows are counted, trained on and scored one by one. The scores don't depend on partitions or their order. Without training documents every base probability is
     one and the model stays as it starts. An empty table gives no rows; other columns aren't read."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -233,14 +270,15 @@ def score_documents(docs: DataFrame) -> DataFrame:
     counts = saved(count_words(some.filter(fold() != 0)))
     v = learn(counts)
     sent = spark.sparkContext.broadcast(v)
-    vector = train(some.filter(fold() == 1), sent, v.model().vector.copy(), 0.1)
-    vector = train(some.filter(fold() > 1), sent, vector, 0.05)
-    main = saved(score(some, sent, vector).withColumn("row", F.monotonically_increasing_id()))
+    main = saved(encode(some, sent).withColumn("row", F.monotonically_increasing_id()))
+    vector = train(main.filter(fold() == 1), v.total // 9, sent, v.model().vector.copy(), 0.1)
+    vector = train(main.filter(fold() > 1), v.total - v.total // 9, sent, vector, 0.05)
+    scored = saved(score(main, sent, vector))
     words = main.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.k").alias("k"))
     inside = F.element_at(F.lit(v.inside.tolist()), (F.crc32(F.substring("word", -2, 2)) % SUFFIXES + 1).cast("int"))
     log = F.log10(F.coalesce("c", F.lit(0)) + 0.1)
     end = F.col("word") == F.lit(END)
     extra = words.join(counts, "word", "left").groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("more"), F.sum(F.col("k") * (log - v.base)).alias("b"), F.sum(F.when(end, 0.0).otherwise(F.col("k") * (log - inside))).alias("s"))
-    out = main.select("row", "doc_id", "n_tokens", "known", "base", "score").join(extra, "row", "left")
+    out = main.select("row", "doc_id", "n_tokens", "known", "base", "inside").join(scored, "row").join(extra, "row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return out.select("doc_id", (fold() == 0).alias("held_out"), "n_tokens", (F.col("known") + zero("more")).alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"), (F.col("base") + zero("b")).alias("base_score"), (F.col("score") + zero("s")).alias("score"))
+    return out.select("doc_id", (fold() == 0).alias("held_out"), "n_tokens", (F.col("known") + zero("more")).alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"), (F.col("base") + zero("b")).alias("base_score"), (F.col("score") / LOG10 + F.col("inside") + zero("s")).alias("score"))

@@ -610,6 +610,15 @@ def test_repeated_rows_change_no_verdict(spark):
     assert sorted(r.n_boilerplate_lines for r in op10_quality.quality_report(table(spark, two)).collect() if r.doc_id == 100) == [0, 2]
 
 
+def test_a_cluster_needs_a_shared_folder():
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077", "getConf": staticmethod(lambda: Cluster.conf)})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(Cluster)
+
+
 def test_native_operators_have_no_python(docs):
     for df in (op6_lines.line_report(docs), op10_quality.quality_report(docs)):
         assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().toString())

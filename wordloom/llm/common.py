@@ -62,10 +62,13 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder, as a URI, below the one the cluster names in spark.checkpoint.dir. Where that is unset (tests, a
-    single machine) a temporary folder is named there first."""
+    """A new folder, as a URI, below the one the cluster names in spark.checkpoint.dir. Where that is unset and all of Spark
+    is one process (tests, a single machine), a temporary folder is named there first; on a cluster that is an error, since
+    a machine's own folder isn't shared."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("name a shared folder in spark.checkpoint.dir")
         base = "file://" + tempfile.mkdtemp(prefix="wordloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

@@ -142,7 +142,7 @@ def test_contexts_of_every_word(spark, tmp_path):
     text = "the cat saw the cat near a big elephant".split()
     spark.createDataFrame([(1, "cat the elephant")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(7, " ".join(text))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted((r.pos, r.word, r.left, r.right) for r in catalog.QUERIES["kwic_all_words"](spark, str(tmp_path)).collect())
+    got = sorted((r.pos, r.word, r.left, r.right) for r in catalog.QUERIES["kwic"](spark, str(tmp_path)).collect())
     assert got == [(i, w, " ".join(text[max(0, i - 3) : i][::-1]), " ".join(text[i + 1 : i + 4])) for i, w in enumerate(text) if w in ("cat", "the", "elephant")]
 
 
@@ -199,14 +199,42 @@ def test_postings_of_every_kind(spark):
 
 
 def test_closure_of_a_chain(spark):
-    df = spark.createDataFrame([(str(i), str(i + 1)) for i in range(7)], "parent string, child string")
-    assert R.closure(df).count() == 8 * 9 // 2
+    df = spark.createDataFrame([(str(i), str(i + 1)) for i in range(12)], "parent string, child string")
+    assert R.closure(df).count() == 13 * 14 // 2
+    with pytest.raises(ValueError):
+        R.closure(spark.createDataFrame([("a", "b"), ("b", "a")], "parent string, child string"))
 
 
 def test_descendants_take_the_cheapest_way(spark):
     e = spark.createDataFrame([("a", "b", 0.3), ("b", "c", 0.3), ("a", "c", 0.9), ("c", "d", 0.6)], "root string, word string, cost double")
     s = spark.createDataFrame([("a", 0.1)], "word string, cost double")
-    assert {(r.word, r.cost) for r in R.descendants(e, s, 1.0, 4).collect()} == {("b", 0.4), ("c", 0.7)}
+    assert {(r.word, r.cost) for r in R.descendants(e, s, 1.0).collect()} == {("b", 0.4), ("c", 0.7)}
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}", 0.05) for i in range(15)], "root string, word string, cost double")
+    out = R.descendants(chain, spark.createDataFrame([("n0", 0.0)], "word string, cost double"), 0.6).collect()
+    assert {(r.word, r.steps, r.root) for r in out} == {(f"n{i}", i, "n0") for i in range(1, 13)}
+
+
+def test_long_affixes_are_stripped(spark):
+    a = spark.createDataFrame([("prefix", "counterintel"), ("suffix", "s")], "kind string, form string")
+    w = spark.createDataFrame([("counterintelabcs",)], "word string")
+    assert {(r.stem, r.n) for r in R.strip_affixes(w, a).collect()} == {("counterintelabcs", 0), ("abcs", 1), ("counterintelabc", 1), ("abc", 2)}
+
+
+def test_blocking_against_counts(spark):
+    rnd = random.Random(3)
+    ws = sorted({"".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 6))) for _ in range(60)})
+    df = spark.createDataFrame([(w,) for w in ws], "q string")
+    pairs = {w: {f"^{w}$"[i : i + 2] for i in range(len(w) + 1)} for w in ws}
+    want = set()
+    for q in ws:
+        near = sorted(((-len(pairs[q] & pairs[t]), t) for t in ws if t != q and pairs[q] & pairs[t]))[:7]
+        want |= {(q, t, -n, k) for k, (n, t) in enumerate(near, 1)}
+    assert {tuple(r) for r in R.blocked(df, df.withColumnRenamed("q", "term"), 7).collect()} == want
+
+
+def test_open_repeats_have_no_end(spark):
+    df = spark.createDataFrame([(1, "start " + "a " * 70 + "end")], "doc int, text string")
+    assert [(r.start, r.n) for r in P.search(df, "start a* end").collect()] == [(0, 72)]
 
 
 def test_issues(spark):

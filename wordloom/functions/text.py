@@ -55,21 +55,28 @@ def search_key(c: Column) -> Column:
     return collapse(F.translate(base_key(c), NOTATION, ""))
 
 
+def folded(c: Column) -> Column:
+    """base_key as far as words need it: blanks part words in any number."""
+    return F.translate(F.lower(F.coalesce(c, F.lit(""))), FOLD_FROM, FOLD_TO)
+
+
 def raw_words(c: Column) -> Column:
-    return F.split(base_key(F.coalesce(c, F.lit(""))), SEPARATORS)
+    return F.split(folded(c), SEPARATORS)
 
 
 def split_words(c: Column) -> Column:
     """Whole words, in order, with repeats. Notation goes before the text is split, in one pass over it."""
-    return F.filter(F.split(F.translate(base_key(F.coalesce(c, F.lit(""))), NOTATION, ""), SEPARATORS), lambda w: w != "")
+    return F.filter(F.split(F.translate(folded(c), NOTATION, ""), SEPARATORS), lambda w: w != "")
 
 
 def tokenize(c: Column) -> Column:
-    """Distinct words, each followed by its morphemes of at least two characters where it is marked for any."""
+    """Distinct words, each followed by its morphemes of at least two characters where it is marked for any. Texts without
+    such marks, nearly all, aren't looked through word by word."""
     bare = lambda w: F.translate(w, NOTATION, "")  # noqa: E731  (the rest of the key is there already)
     parts = lambda w: F.filter(F.transform(F.split(w, MORPHEMES), bare), lambda p: F.length(p) >= 2)
     both = F.flatten(F.transform(raw_words(c), lambda w: F.when(w.rlike(MORPHEMES), F.concat(F.array(bare(w)), parts(w))).otherwise(F.array(bare(w)))))
-    return F.array_distinct(F.filter(both, lambda w: w != ""))
+    marked = F.array_distinct(F.filter(both, lambda w: w != ""))
+    return F.when(c.rlike(MORPHEMES), marked).otherwise(F.array_distinct(split_words(c)))
 
 
 def gloss_tokens(c: Column) -> Column:

@@ -156,13 +156,13 @@ class Parser:
             return body, least
         self.at += 1
         if t[0] != "repeat":
-            lo, hi = {"?": (0, 1), "+": (1, MAX_REPEAT), "*": (0, MAX_REPEAT)}[t[1]]
+            lo, hi = {"?": (0, 1), "+": (1, None), "*": (0, None)}[t[1]]
         else:
             a, comma, b = t[1][1:-1].partition(",")
-            lo, hi = int(a), int(b) if b else MAX_REPEAT if comma else int(a)
-            if hi > MAX_REPEAT or lo > hi or hi == 0:
+            lo, hi = int(a), int(b) if b else None if comma else int(a)
+            if max(lo, hi or 0) > MAX_REPEAT or hi is not None and (lo > hi or hi == 0):
                 raise PatternError("bad-repeat", t[2])
-        return f"(?:{body}){{{lo},{hi}}}", least * lo
+        return f"(?:{body}){{{lo},{'' if hi is None else hi}}}", least * lo
 
 
 def parse(query: str) -> Query:

@@ -5,36 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..functions.distance import EPSILON, Metric, normalized, weighted_distance
-from .index import grams
+from .index import lexicon
+from .rounds import kept
 
 #: (kind, form) of affixes, for stripping.
 AFFIXES = [("prefix", f) for f in ("re", "un", "in", "th", "wh")] + [("suffix", f) for f in ("ing", "ed", "ly", "tion", "er")]
 MIN_STEM = 3
 
 
-def closure(edges: DataFrame, steps: int = 8) -> DataFrame:
-    """code, member: each code with itself and all that lies below it, from edges (parent, child). The number of reachable
-    steps doubles each round."""
+def closure(edges: DataFrame) -> DataFrame:
+    """code, member: each code with itself and all that lies below it, however deep, from edges (parent, child). A cycle is
+    an error."""
+    edges = kept(edges.select("parent", "child").distinct())
     nodes = edges.select(F.col("parent").alias("code")).union(edges.select("child")).distinct()
-    out = nodes.select("code", F.col("code").alias("member")).union(edges.select("parent", "child")).distinct()
-    for _ in range(max(0, steps - 1).bit_length()):
-        longer = out.alias("a").join(out.alias("b"), F.col("a.member") == F.col("b.code")).select("a.code", "b.member")
-        out = longer.distinct()
+    out = nodes.select("code", F.col("code").alias("member"))
+    new = edges.select(F.col("parent").alias("code"), F.col("child").alias("member"))
+    while new.take(1):
+        if new.filter("code = member").take(1):
+            raise ValueError("the edges have a cycle")
+        out = kept(out.union(new))
+        step = new.join(edges, F.col("member") == F.col("parent")).select("code", F.col("child").alias("member")).distinct()
+        new = kept(step.join(out, ["code", "member"], "left_anti"))
     return out
 
 
 def strip_once(words: DataFrame, affixes: DataFrame) -> DataFrame:
     """word, stem, n, last: one affix off, by its kind, from (word, stem, n, last). Affixes are a short list, so it is sent to the tasks; each
-    form is looked up by what the word begins or ends with."""
-    a = F.broadcast(affixes)
-    sizes = F.array(*(F.lit(k) for k in range(1, 9)))
-    ends = words.select("word", "stem", "n", "last", F.explode(F.flatten(F.transform(sizes, lambda k: F.array(F.struct(F.lit("prefix").alias("kind"), F.substring("stem", 1, 8).alias("x"), k.alias("k")), F.struct(F.lit("suffix").alias("kind"), F.col("stem").alias("x"), k.alias("k")))))).alias("e"))
-    form = F.when(F.col("e.kind") == "prefix", F.expr("left(stem, e.k)")).otherwise(F.expr("right(stem, e.k)"))
-    ends = ends.filter(F.length("stem") - F.col("e.k") >= MIN_STEM).select("word", "stem", "n", "last", F.col("e.kind").alias("kind"), form.alias("form")).filter(F.col("last").isNull() | (F.col("last") != F.col("kind")))
+    form is looked up by what the word begins or ends with, at the lengths that the list has."""
+    lengths = sorted({(r[0], r[1]) for r in affixes.select("kind", F.length("form")).distinct().collect()})
+    ends = words.select("word", "stem", "n", "last", F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), (F.expr(f"left(stem, {k})") if kind == "prefix" else F.expr(f"right(stem, {k})")).alias("form")) for kind, k in lengths))).alias("e"))
+    ends = ends.select("word", "stem", "n", "last", "e.kind", "e.form").filter((F.length("stem") - F.length("form") >= MIN_STEM) & (F.col("last").isNull() | (F.col("last") != F.col("kind"))))
     left = F.when(F.col("kind") == "prefix", F.expr("substring(stem, length(form) + 1)")).otherwise(F.expr("left(stem, length(stem) - length(form))"))
-    return ends.join(a, ["kind", "form"]).select("word", left.alias("stem"), (F.col("n") + 1).alias("n"), F.col("kind").alias("last"))
+    return ends.join(F.broadcast(affixes), ["kind", "form"]).select("word", left.alias("stem"), (F.col("n") + 1).alias("n"), F.col("kind").alias("last"))
 
 
 def strip_affixes(words: DataFrame, affixes: DataFrame) -> DataFrame:
@@ -45,17 +48,21 @@ def strip_affixes(words: DataFrame, affixes: DataFrame) -> DataFrame:
     return zero.unionByName(one).unionByName(two).groupBy("word", "stem").agg(F.min("n").alias("n"))
 
 
-def descendants(edges: DataFrame, seeds: DataFrame, cap: float, steps: int) -> DataFrame:
-    """word, cost: the cheapest way from a seed to each word within `steps` edges (root, word, cost) whose costs add up to at most cap; the
-    seeds (word, cost) themselves are left out. Each round keeps one row a word, so rounds don't multiply paths."""
-    reach = seeds.select("word", F.col("cost").cast("double").alias("cost"), F.lit(0.0).alias("path"))
-    out = None
-    for _ in range(steps):
-        reach = reach.join(edges.withColumnsRenamed({"word": "to", "cost": "w"}), F.col("word") == F.col("root")).filter(F.col("path") + F.col("w") <= cap + 1e-9)
-        reach = reach.groupBy("to").agg(F.min(F.struct((F.col("cost") + F.col("w")).alias("c"), (F.col("path") + F.col("w")).alias("p"))).alias("b")).select(F.col("to").alias("word"), F.col("b.c").alias("cost"), F.col("b.p").alias("path"))
-        out = reach if out is None else out.unionByName(reach)
-    best = out.groupBy("word").agg(F.round(F.min("cost"), 9).alias("cost"))
-    return best.join(seeds.select("word"), "word", "left_anti")
+def descendants(edges: DataFrame, seeds: DataFrame, cap: float) -> DataFrame:
+    """word, cost, root, steps: the cheapest way from a seed to each word over edges (root, word, cost) whose costs add up to at
+    most cap, with the seed it begins at and its length (of equally cheap ways one of the fewest steps, then of the first seed); the seeds (word, cost) themselves are left out. Costs are
+    positive. Rounds go on until no word gets cheaper; each keeps one row a word, so rounds don't multiply ways."""
+    edges = kept(edges.select("root", F.col("word").alias("to"), F.col("cost").alias("w")))
+    seeds = kept(seeds.select("word", F.col("cost").cast("double").alias("cost"), F.lit(0.0).alias("path"), F.col("word").alias("start"), F.lit(0).alias("steps")))
+    best, new = seeds, seeds
+    while new.take(1):
+        step = new.join(edges, F.col("word") == F.col("root")).filter(F.col("path") + F.col("w") <= cap + 1e-9)
+        way = F.struct(F.round(F.col("cost") + F.col("w"), 9).alias("cost"), F.round(F.col("path") + F.col("w"), 9).alias("path"), F.col("start"), (F.col("steps") + 1).alias("steps"))
+        least = step.groupBy(F.col("to").alias("word")).agg(F.min(way).alias("b")).select("word", "b.*")
+        old = best.select("word", F.col("cost").alias("had"))
+        new = kept(least.join(old, "word", "left").filter(F.col("had").isNull() | (F.col("cost") < F.col("had") - 1e-12)).drop("had"))
+        best = kept(best.join(new.select("word"), "word", "left_anti").unionByName(new))
+    return best.filter("steps > 0").join(seeds.select("word"), "word", "left_anti").select("word", F.round("cost", 9).alias("cost"), F.col("start").alias("root"), "steps")
 
 
 def select_parses(parses: DataFrame, spread: float, cap: float | None = None) -> DataFrame:
@@ -75,13 +82,18 @@ def children(items: DataFrame, parent: str, child: str) -> DataFrame:
     return items.groupBy(F.col(parent).alias("parent")).agg(F.count("*").alias("n"), F.min(child).alias("first_child"), F.max(child).alias("last_child"))
 
 
-def blocked(queries: DataFrame, terms: DataFrame, top: int) -> DataFrame:
-    """q, term, shared, place: the terms that share most adjacent pairs of ^term$ with a query."""
-    pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.substring(F.concat(F.lit("^"), c, F.lit("$")), i, 2)))
-    a = queries.select("q", F.explode(pairs(F.col("q"))).alias("pair"))
-    b = terms.select("term", F.explode(pairs(F.col("term"))).alias("pair"))
-    both = a.join(b, "pair").filter("q <> term").groupBy("q", "term").agg(F.count("*").alias("shared"))
-    return both.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("shared"), "term"))).filter(F.col("place") <= top)
+def blocked(queries: DataFrame, terms: DataFrame, top: int = 300) -> DataFrame:
+    """q, term, shared, place: the terms that share most adjacent pairs of ^term$ with a query, of equals the first by code point.
+    Texts are numbered first, in that order, so that pairs of them are counted as single numbers."""
+    pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.xxhash64(F.substring(F.concat(F.lit("^"), c, F.lit("$")), i, 2))))
+    numbers = kept(lexicon(queries.select(F.col("q").alias("term")).union(terms.select("term"))))
+    of = lambda df, c: df.select(F.col(c).alias("term")).join(numbers, "term").select("term_id", F.explode(pairs(F.col("term"))).alias("pair"))
+    a, b = of(queries, "q").withColumnRenamed("term_id", "x"), of(terms, "term").withColumnRenamed("term_id", "y")
+    both = a.join(b, "pair").filter("x <> y").groupBy("x", "y").agg(F.count("*").alias("shared"))
+    order = Window.partitionBy("x").orderBy(F.desc("shared"), "y")
+    best = both.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top)
+    named = lambda c, name: numbers.select(F.col("term_id").alias(c), F.col("term").alias(name))
+    return best.join(named("x", "q"), "x").join(named("y", "term"), "y").select("q", "term", "shared", "place")
 
 
 def shortened(words: DataFrame, edits: int) -> DataFrame:
@@ -146,8 +158,6 @@ def issues(records: DataFrame, ident: str, parent: str, parents: DataFrame, pare
     return twice.unionByName(lost)
 
 
-def source_stats(docs: DataFrame) -> DataFrame:
-    return docs.groupBy("source").agg(F.count("*").alias("records"), *(F.count_if(F.col("lang") == x).alias(x) for x in ("de", "en", "es", "fr")), F.sum(F.length("text")).alias("chars"))
-
-
-__all__ = ["T", "grams"]
+def source_stats(records: DataFrame, units: tuple[str, ...] = ("affix", "word", "phrase", "sentence")) -> DataFrame:
+    """source, records, groups, and a count for each unit, from records (source, doc_id, unit)."""
+    return records.groupBy("source").agg(F.count("*").alias("records"), F.count_distinct("doc_id").alias("groups"), *(F.count_if(F.col("unit") == u).alias(u) for u in units))

@@ -121,12 +121,16 @@ def page(df: DataFrame, keys: list, offset: int, limit: int) -> DataFrame:
 
 
 def kwic(docs: DataFrame, nodes: DataFrame, width: int = 3) -> DataFrame:
-    """doc, pos, word, left, right: each place of each node word with its neighbours, nearest first. nodes: word."""
+    """doc, pos, word, left, right: each place of each node word with its neighbours, nearest first. nodes: word. Contexts are
+    cut before words become rows, so a row is a word and its neighbours and never the whole text."""
     words = docs.select(F.col("doc_id").alias("doc"), T.split_words(F.col("text")).alias("ws"))
-    each = words.select("doc", F.posexplode("ws").alias("pos", "word"), "ws")
-    hits = each.join(nodes, "word", "left_semi")
-    left = F.reverse(F.slice("ws", F.greatest(F.col("pos") - width + 1, F.lit(1)), F.least(F.col("pos"), F.lit(width))))
-    return hits.select("doc", "pos", "word", F.array_join(left, " ").alias("left"), F.array_join(F.slice("ws", F.col("pos") + 2, width), " ").alias("right"))
+
+    def place(w: Column, i: Column) -> Column:
+        left = F.reverse(F.slice("ws", F.greatest(i - width + 1, F.lit(1)), F.least(i, F.lit(width))))
+        return F.struct(i.alias("pos"), w.alias("word"), F.array_join(left, " ").alias("left"), F.array_join(F.slice("ws", i + 2, width), " ").alias("right"))
+
+    each = words.select("doc", F.explode(F.transform("ws", place)).alias("x")).select("doc", "x.*")
+    return each.join(nodes, "word", "left_semi").select("doc", "pos", "word", "left", "right")
 
 
 def ngram_frequency(docs: DataFrame, n: int) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import distance as D
@@ -32,11 +32,18 @@ def query(sql: str | None = None):
     return add
 
 
+#: Tables of fewer bytes than this are worth spreading over the cores.
+SMALL = 256 << 20
+
+
 def table(s: SparkSession, d: str, name: str) -> DataFrame:
-    """A table; one of fewer files than cores is spread over the cores, since its one row group would be one task."""
+    """A table. A small one of fewer files than cores is spread over the cores, since its one row group would be one task; a
+    large one is never shuffled for that."""
     df = s.read.parquet(f"{d}/{name}.parquet")
     cores = s.sparkContext.defaultParallelism
-    return df.repartition(cores) if name == "documents" and len(df.inputFiles()) < cores else df
+    if name != "documents" or len(df.inputFiles()) >= cores or int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > SMALL:
+        return df
+    return df.repartition(cores)
 
 
 def words(s: SparkSession, d: str) -> DataFrame:
@@ -49,9 +56,9 @@ def terms(s: SparkSession, d: str) -> DataFrame:
 
 
 def heads(s: SparkSession, d: str) -> DataFrame:
-    """term, doc: lines that are words or phrases, as entries."""
-    r = I.line_records(table(s, d, "documents")).filter("unit <> 'sentence'")
-    return r.select(T.search_key(F.col("text")).alias("term"), (F.col("doc_id") * 100000 + F.col("line")).alias("doc")).filter("term <> ''")
+    """term, doc: the words of all conversations as entries, one record a conversation."""
+    r = table(s, d, "conversations")
+    return r.select(F.explode(T.split_words(F.col("text"))).alias("term"), F.col("conv_id").alias("doc")).distinct()
 
 
 # The same building blocks in SQL. chr(…) keeps quotes and blanks readable.
@@ -76,11 +83,11 @@ TERMS = f"terms AS (SELECT DISTINCT unnest({split_sql('text')}) AS term FROM doc
 LINES = r"""records AS (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
 classed AS (SELECT *, CASE WHEN regexp_matches(t, '^-|-$') OR regexp_matches(t, '^<[^>]+>$') THEN 'affix' WHEN regexp_matches(t, '[.!?。！？][”"’' || chr(39) || ')）]*$') OR n >= 3 THEN 'sentence' WHEN n >= 2 THEN 'phrase' ELSE 'word' END AS unit
   FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS n FROM records) WHERE trim(text) <> '')"""
-HEADS = f"heads AS (SELECT {KEY.format(BASE.format('text'))} AS term, doc_id * 100000 + line AS doc FROM classed WHERE unit <> 'sentence')"
+HEADS = f"heads AS (SELECT DISTINCT unnest({split_sql('text')}) AS term, conv_id AS doc FROM conversations)"
 PARTIAL = """hits AS (SELECT q, term, CASE WHEN starts_with(term, q) THEN 'prefix' WHEN ends_with(term, q) THEN 'suffix' ELSE 'substring' END AS match_type FROM words JOIN lex ON contains(term, q) AND term <> q),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY CASE match_type WHEN 'prefix' THEN 0 ELSE 1 END, length(term), term) AS rank FROM hits),
 partial AS (SELECT q, term, match_type, rank, round(least(length(term) - length(q), 12) * 0.05 + CASE match_type WHEN 'prefix' THEN 0.35 ELSE 0.9 END, 9)::DOUBLE AS score FROM ranked WHERE rank <= 300)"""
-ENTRIES = f"""{WORDS}, {LINES}, {HEADS}, lex AS (SELECT DISTINCT term FROM heads WHERE term <> ''), {PARTIAL},
+ENTRIES = f"""{WORDS}, {HEADS}, lex AS (SELECT DISTINCT term FROM heads WHERE term <> ''), {PARTIAL},
 matches AS (SELECT q, term, match_type, score FROM partial UNION ALL SELECT q, q, 'fuzzy', 0.0::DOUBLE FROM words WHERE q IN (SELECT term FROM lex)),
 placed AS (SELECT q, doc, heads.term, match_type, score, row_number() OVER (PARTITION BY q, doc ORDER BY score, CASE match_type WHEN 'fuzzy' THEN 0 WHEN 'prefix' THEN 1 WHEN 'suffix' THEN 5 ELSE 6 END, length(heads.term), heads.term) AS n FROM matches JOIN heads ON matches.term = heads.term),
 entry AS (SELECT q, doc, term, match_type, score FROM placed WHERE n = 1)"""
@@ -159,9 +166,9 @@ def unit_class(s, d):
     return I.line_records(table(s, d, "documents")).groupBy("unit").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
-@query("SELECT source, count(*) AS records, count(*) FILTER (WHERE lang = 'de') AS de, count(*) FILTER (WHERE lang = 'en') AS en, count(*) FILTER (WHERE lang = 'es') AS es, count(*) FILTER (WHERE lang = 'fr') AS fr, sum(length(text))::BIGINT AS chars FROM documents GROUP BY source")
+@query(f"WITH {LINES} SELECT source, count(*) AS records, count(DISTINCT doc_id) AS groups, " + ", ".join(f"count(*) FILTER (WHERE unit = '{u}') AS {u}" for u in ("affix", "word", "phrase", "sentence")) + " FROM classed GROUP BY source")
 def source_stats(s, d):
-    return R.source_stats(table(s, d, "documents"))
+    return R.source_stats(I.line_records(table(s, d, "documents")))
 
 
 @query("""SELECT 'duplicate id' AS issue, o_custkey AS id, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1
@@ -201,14 +208,9 @@ def quality_summary(s, d):
 
 @query(f"""WITH {WORDS}, l AS (SELECT doc_id, {split_sql('text')} AS ws FROM documents), e AS (SELECT doc_id AS doc, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM l),
 c AS (SELECT *, concat_ws(' ', lag(word, 1) OVER o, lag(word, 2) OVER o, lag(word, 3) OVER o) AS left, concat_ws(' ', lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o) AS right FROM e WINDOW o AS (PARTITION BY doc ORDER BY pos))
-SELECT doc, pos::INTEGER AS pos, word, left, right FROM c WHERE length(word) >= 8 AND word IN (SELECT q FROM words)""".replace(" AS left", ' AS "left"').replace(" AS right", ' AS "right"').replace("word, left, right FROM", 'word, "left", "right" FROM'))
+SELECT doc, pos::INTEGER AS pos, word, left, right FROM c WHERE word IN (SELECT q FROM words)""".replace(" AS left", ' AS "left"').replace(" AS right", ' AS "right"').replace("word, left, right FROM", 'word, "left", "right" FROM'))
 def kwic(s, d):
-    return S.kwic(table(s, d, "documents"), words(s, d).filter(F.length("q") >= 8).withColumnRenamed("q", "word"))
-
-
-@query(ORACLES["kwic"].replace("length(word) >= 8 AND ", ""))
-def kwic_all_words(s, d):
-    """The contexts of every benchmark word; kwic has those of at least 8 letters."""
+    """The contexts of every benchmark word."""
     return S.kwic(table(s, d, "documents"), words(s, d).withColumnRenamed("q", "word"))
 
 
@@ -260,10 +262,11 @@ def parse_selection(s, d):
     return R.select_parses(parses(s, d), 0.2, 0.6)
 
 
-@query(f"""WITH RECURSIVE {AFFIX}, {TERMS}, {WORDS}, {STRIP}, {COSTED}, g(word, path, k) AS (SELECT q, 0.0::DOUBLE, 0 FROM words UNION SELECT c.word, round(g.path + c.cost, 9), k + 1 FROM g JOIN costed c ON g.word = c.stem WHERE g.path + c.cost <= 1.0 + 1e-9 AND k < 3)
-SELECT word, min(path)::DOUBLE AS cost FROM g WHERE k > 0 AND word NOT IN (SELECT q FROM words) GROUP BY word""")
+@query(f"""WITH RECURSIVE {AFFIX}, {TERMS}, {WORDS}, {STRIP}, {COSTED}, g(word, path, root, steps) AS (SELECT q, 0.0::DOUBLE, q, 0 FROM words UNION SELECT c.word, round(g.path + c.cost, 9), g.root, g.steps + 1 FROM g JOIN costed c ON g.word = c.stem WHERE g.path + c.cost <= 1.0 + 1e-9),
+b AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY path, steps, root) AS n FROM g WHERE steps > 0 AND word NOT IN (SELECT q FROM words))
+SELECT word, path::DOUBLE AS cost, root, steps::INTEGER AS steps FROM b WHERE n = 1""")
 def descendants(s, d):
-    return R.descendants(parses(s, d).withColumnRenamed("stem", "root"), words(s, d).select(F.col("q").alias("word"), F.lit(0.0).alias("cost")), 1.0, 3)
+    return R.descendants(parses(s, d).withColumnRenamed("stem", "root"), words(s, d).select(F.col("q").alias("word"), F.lit(0.0).alias("cost")), 1.0)
 
 
 PAIRS = "list_distinct(list_transform(range(1, length({0}) + 2), lambda i: substr('^' || {0} || '$', i, 2)))"
@@ -271,31 +274,42 @@ BLOCK = f"""{WORDS}, a AS (SELECT q, unnest({PAIRS.format('q')}) AS pair FROM wo
 top AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY shared DESC, term) AS place FROM k)"""
 
 
-def candidates(s, d, top: int) -> DataFrame:
-    return R.blocked(words(s, d), words(s, d).withColumnRenamed("q", "term"), top)
+@query(f"WITH {BLOCK} SELECT q, term, shared, place::INTEGER AS place FROM top WHERE place <= 300")
+def bigram_blocking(s, d):
+    return R.blocked(words(s, d), words(s, d).withColumnRenamed("q", "term"))
 
 
-@query(f"WITH {BLOCK} SELECT q, term, shared, place::INTEGER AS place FROM top WHERE place <= 20")
-def bigram_blocking(s, d):
-    return candidates(s, d, 20)
+# Within 1.6 at costs of 1 and 1.2 there is room for one edit.
+NEAR = f"""{WORDS}, {TERMS}, lex AS (SELECT term FROM terms UNION SELECT q FROM words),
+dq AS (SELECT q, unnest(range(1, length(q) + 1)) AS i, unnest(list_transform(range(1, length(q) + 1), lambda i: substr(q, 1, i - 1) || substr(q, i + 1))) AS less FROM words),
+dt AS (SELECT term, unnest(range(1, length(term) + 1)) AS i, unnest(list_transform(range(1, length(term) + 1), lambda i: substr(term, 1, i - 1) || substr(term, i + 1))) AS less FROM lex),
+pr AS (SELECT q, term, min(distance) AS distance FROM (SELECT q, q AS term, 0.0::DOUBLE AS distance FROM words UNION ALL SELECT q, term, 1.0 FROM dq JOIN lex ON less = term UNION ALL SELECT q, term, 1.0 FROM dt JOIN words ON less = q UNION ALL SELECT q, term, 1.2 FROM dq JOIN dt ON dq.less = dt.less AND dq.i = dt.i WHERE q <> term) GROUP BY q, term),
+near AS (SELECT * FROM pr WHERE distance <= least(1.6, greatest(0.3, 0.2 + 0.15 * length(q))) + 1e-9 AND distance / greatest(length(q), length(term)) <= 0.3 + 1e-9)"""
+
+
+def near(s, d) -> DataFrame:
+    """q, term, distance: all terms within the normal threshold of each benchmark word by plain edits."""
+    q = words(s, d)
+    return R.within(q, terms(s, d).union(q).distinct(), D.Metric(), I.thresholds(F.col("q"))["max_normal"], 1.6, 0.3)
 
 
-ROW0 = "list_transform(range(0, length(term) + 1), lambda j: j * 1.0::DOUBLE)"
+@query(f"""WITH {NEAR} SELECT q, term, distance, round(distance / greatest(length(q), length(term), 1), 9)::DOUBLE AS by_max, round(distance / greatest(length(q) + length(term), 1), 9)::DOUBLE AS by_sum, round(distance / greatest(length(q), 1), 9)::DOUBLE AS by_query FROM near""")
+def fuzzy_plain(s, d):
+    """The fuzzy range search without rules, with the distance normalised in every way."""
+    return near(s, d).withColumns({f"by_{k}": D.normalized(F.col("distance"), F.col("q"), F.col("term"), k) for k in ("max", "sum", "query")})
 
 
-@query(f"""WITH RECURSIVE {BLOCK}, pr AS (SELECT q, term FROM top WHERE place <= 5),
-dp AS (SELECT q, term, 0 AS i, {ROW0} AS r FROM pr UNION ALL SELECT q, term, i + 1, list_reduce(range(1, length(term) + 1), lambda acc, j: list_append(acc, least(acc[j] + 1.0, r[j + 1] + 1.0, r[j] + CASE WHEN substr(q, i + 1, 1) = substr(term, j, 1) THEN 0.0 ELSE 1.2 END)), [r[1] + 1.0]) FROM dp WHERE i < length(q)),
-x AS (SELECT q, term, round(r[length(term) + 1], 9)::DOUBLE AS distance FROM dp WHERE i = length(q))
-SELECT q, term, distance, round(distance / greatest(length(q), length(term), 1), 9)::DOUBLE AS by_max, round(distance / greatest(length(q) + length(term), 1), 9)::DOUBLE AS by_sum, round(distance / greatest(length(q), 1), 9)::DOUBLE AS by_query FROM x""")
+@query(f"WITH {NEAR} SELECT q, term, distance FROM near")
 def plain_edit_distance(s, d):
-    c = candidates(s, d, 5).select("q", "term", D.plain_distance(F.col("q"), F.col("term")).alias("distance"))
-    return c.withColumns({f"by_{k}": D.normalized(F.col("distance"), F.col("q"), F.col("term"), k) for k in ("max", "sum", "query")})
+    """The distance expression of the JVM over the pairs that are near."""
+    return near(s, d).select("q", "term", D.plain_distance(F.col("q"), F.col("term")).alias("distance"))
 
 
-@query(f"""WITH {BLOCK}, pr AS (SELECT q, term FROM top WHERE place <= 5 AND length(q) = length(term)), ch AS (SELECT unnest(string_split(q, '')) AS s, unnest(string_split(term, '')) AS w FROM pr), n AS (SELECT s, w, count(*) AS n FROM ch GROUP BY s, w)
+@query(f"""WITH {NEAR}, ch AS (SELECT unnest(string_split(q, '')) AS s, unnest(string_split(term, '')) AS w FROM near WHERE length(q) = length(term)), n AS (SELECT s, w, count(*) AS n FROM ch GROUP BY s, w)
 SELECT s, w, round(-ln((n + CASE WHEN s = w THEN 1.0 ELSE 0.0 END) / (sum(n) OVER (PARTITION BY s) + 1.0)), 9)::DOUBLE AS cost FROM n""")
 def cost_table(s, d):
-    pr = candidates(s, d, 5).filter(F.length("q") == F.length("term"))
+    """What letters correspond to in all near pairs of equal length."""
+    pr = near(s, d).filter(F.length("q") == F.length("term"))
     cells = pr.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("q")), lambda i: F.struct(F.substring("q", i, 1).alias("s"), F.substring("term", i, 1).alias("w")))).alias("x"))
     return R.cost_table(cells.select(F.lit("x").alias("a"), F.lit("y").alias("b"), "x.s", "x.w", F.lit(1).alias("n"))).drop("a", "b")
 
@@ -339,8 +353,10 @@ def fuzzy_search(s, d):
 
 @query()
 def neighbors(s, d):
-    """The other terms within 0.6 of each word's nearest, with the steps that lead to them."""
-    return R.spread_cut(fuzzy_search(s, d).filter("q <> term"), 0.6).withColumn("steps", D.alignment(D.Metric(RULES))("q", "term"))
+    """The twenty nearest other terms of each word, with the steps that lead to them."""
+    order = Window.partitionBy("q").orderBy("distance", "term")
+    near = fuzzy_search(s, d).filter("q <> term").withColumn("place", F.row_number().over(order)).filter("place <= 20")
+    return near.withColumn("steps", D.alignment(D.Metric(RULES))("q", "term"))
 
 
 @query()

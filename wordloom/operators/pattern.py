@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -231,3 +231,18 @@ def search(docs: DataFrame, query: str) -> DataFrame:
 def frequency(matches: DataFrame, top: int = 100) -> DataFrame:
     """words, count, docs: the most frequent matches."""
     return matches.groupBy("words").agg(F.count("*").alias("count"), F.count_distinct("doc").alias("docs")).orderBy(F.desc("count"), F.desc("docs"), "words").limit(top)
+
+
+def with_words(docs: DataFrame, required: list[str], forbidden: list[str] = ()) -> DataFrame:
+    """Records whose words (ws) hold all required atoms and none of the forbidden: what can match at all, before any matching."""
+    for w in required:
+        docs = docs.filter(F.array_contains("ws", w))
+    for w in forbidden:
+        docs = docs.filter(~F.array_contains("ws", w))
+    return docs
+
+
+def group_top(rows: DataFrame, group: str, keys: list, limit: int) -> DataFrame:
+    """The first rows of each group, with their place."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(*keys))
+    return rows.withColumn("place", place).filter(F.col("place") <= limit)

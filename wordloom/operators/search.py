@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .index import partial_matches
+from .index import grams, partial_matches
 
 TYPE_RANK = {kind: i for i, kind in enumerate("fuzzy prefix lemma derived sibling suffix substring".split())}
 GROUPS = {"exact": "spelling", "fuzzy": "spelling", "prefix": "partial", "suffix": "partial", "substring": "partial", "lemma": "automatic", "derived": "automatic", "sibling": "automatic"}
@@ -103,6 +103,80 @@ def gloss_hits(queries: DataFrame, glosses: DataFrame) -> DataFrame:
     return found.join(glosses.select("doc", senses.alias("senses")), "doc").select("qid", "doc", rank.alias("rank"))
 
 
+def zh_gloss_hits(queries: DataFrame, glosses: DataFrame) -> DataFrame:
+    """qid, doc, rank of glosses that hold a query, blanks aside: 0 a sense is the query, 1 it begins with it, else 3. Candidates
+    come from the query's rarest character or pair. queries: qid, text; glosses: doc, gloss (senses parted by ；;，,、)."""
+    q = queries.select("qid", T.zh_key(F.col("text")).alias("q")).filter("q <> ''")
+    g = glosses.select("doc", T.zh_key(F.col("gloss")).alias("zh"))
+    texts = g.select("zh").distinct()
+    index = texts.select("zh", F.explode(grams(F.col("zh"))).alias("gram"))
+    df = index.groupBy("gram").agg(F.count("*").alias("n"))
+    asked = q.select("q").distinct()
+    rare = asked.select("q", F.explode(grams(F.col("q"))).alias("gram")).join(df, "gram", "left").groupBy("q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).select("q", F.col("r.gram").alias("gram"))
+    senses = F.transform(F.split("zh", "[；;，,、]"), lambda x: F.trim(x))
+    rank = F.when(F.exists(senses, lambda x: x == F.col("q")), 0).when(F.exists(senses, lambda x: x.startswith(F.col("q"))), 1).otherwise(3)
+    hits = rare.join(index, "gram").filter(F.col("zh").contains(F.col("q"))).select("q", "zh", rank.alias("rank"))
+    return q.join(hits, "q").join(g, "zh").select("qid", "doc", "rank")
+
+
+def gloss_order(hits: DataFrame, glosses: DataFrame) -> DataFrame:
+    """hits (qid, doc, rank) with place: by rank, then the shorter gloss, then doc."""
+    order = Window.partitionBy("qid").orderBy("rank", F.length("gloss"), "doc")
+    return hits.join(glosses.select("doc", "gloss"), "doc").withColumn("place", F.row_number().over(order)).select("qid", "doc", "rank", "place")
+
+
+KIND_RANK = {k: i for i, k in enumerate(("head", "alt", "variant", "root", "token"))}
+
+
+def entry_order(hits: DataFrame) -> DataFrame:
+    """Hits (q, doc, term, match_type, score, kind, role, text) with place, by eight keys: those of the sibling tier last; score, match
+    type, the term's length, kind, role, the text's length, doc."""
+    tier = F.when(F.col("match_type") == "sibling", 1).otherwise(0)
+    order = Window.partitionBy("q").orderBy(tier, "score", lookup(F.col("match_type"), TYPE_RANK), F.length("term"), lookup(F.col("kind"), KIND_RANK), "role", F.length("text"), "doc")
+    return hits.withColumn("place", F.row_number().over(order))
+
+
+def replaced(hits: DataFrame) -> DataFrame:
+    """One hit for each (q, doc): a sibling only where there is nothing else, then the smallest score, then spelling first."""
+    order = Window.partitionBy("q", "doc").orderBy(F.when(F.col("match_type") == "sibling", 1).otherwise(0), "score", lookup(F.col("match_type"), TYPE_RANK), F.length("term"), "term")
+    return hits.withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n")
+
+
+def placed_hits(matches: DataFrame, postings: DataFrame) -> DataFrame:
+    """q, doc, term, match_type, score: every posting (term, doc, kind but token) of each match. Derived and sibling matches skip
+    root postings, and a root posting costs 0.1 more."""
+    hits = matches.join(postings.filter("kind <> 'token'"), "term").filter(~(F.col("match_type").isin("derived", "sibling") & (F.col("kind") == "root")))
+    return hits.withColumn("score", F.round(F.col("score") + F.when(F.col("kind") == "root", 0.1).otherwise(0.0), 9))
+
+
+def scored_occurrences(queries: DataFrame, matches: DataFrame, tokens: DataFrame, without: DataFrame | None = None) -> DataFrame:
+    """qid, doc, score, match_type, n_terms: records that hold a match of every query word. The best match of each word counts; scores
+    add up, once for each repeat of a word; the weakest match type names the hit. Records in `without` (qid, doc) are left
+    out. queries: qid, text; matches: q, term, match_type, score; tokens: term, doc.
+
+    A query's word with the fewest records proposes them; the other words are looked up only there."""
+    words = queries.select("qid", F.explode(T.split_words(F.col("text"))).alias("q")).groupBy("qid", "q").agg(F.count("*").alias("times"))
+    need = words.groupBy("qid").agg(F.count("*").alias("n"))
+    sizes = tokens.groupBy("term").agg(F.count("*").alias("k"))
+    reach = matches.join(sizes, "term").groupBy("q").agg(F.sum("k").alias("k"))
+    rare = words.join(reach, "q").groupBy("qid").agg(F.min(F.struct("k", "q")).alias("r"), F.count("*").alias("have")).join(need, "qid").filter("have = n").select("qid", F.col("r.q").alias("q"))
+    proposed = rare.join(matches.select("q", "term"), "q").join(tokens, "term").select("qid", "doc").distinct()
+    asked = proposed.join(words, "qid").join(matches, "q").select("qid", "doc", "q", "times", "term", "match_type", "score").join(tokens, ["term", "doc"])
+    best = asked.groupBy("qid", "doc", "q", "times").agg(F.min(F.struct("score", lookup(F.col("match_type"), TYPE_RANK).alias("rank"))).alias("b"), F.count_distinct("term").alias("terms"))
+    out = best.groupBy("qid", "doc").agg(F.count("*").alias("found"), F.sum(F.col("b.score") * F.col("times")).alias("score"), F.max("b.rank").alias("rank"), F.sum("terms").alias("n_terms"))
+    out = out.join(need, "qid").filter("found = n")
+    if without is not None:
+        out = out.join(without, ["qid", "doc"], "left_anti")
+    names = F.array(*(F.lit(k) for k in TYPE_RANK))
+    return out.select("qid", "doc", F.round("score", 9).alias("score"), F.element_at(names, F.col("rank") + 1).alias("match_type"), "n_terms")
+
+
+def occurrence_order(hits: DataFrame, docs: DataFrame) -> DataFrame:
+    """Scored occurrences with place: score, weakest match type, the text's length, doc. docs: doc, length."""
+    order = Window.partitionBy("qid").orderBy(F.when(F.col("match_type") == "sibling", 1).otherwise(0), "score", lookup(F.col("match_type"), TYPE_RANK), "length", "doc")
+    return hits.join(docs.select("doc", "length"), "doc").withColumn("place", F.row_number().over(order)).drop("length")
+
+
 def doc_filter(docs: DataFrame, sources=(), langs=(), statuses=()) -> DataFrame:
     """Empty lists filter nothing; `none` among langs takes records without a variety."""
     for name, values in (("source", sources), ("status", statuses)):

@@ -363,3 +363,6 @@ def neighbors(s, d):
 def pattern_search(s, d):
     """Matches of a word pattern: `the`, up to two words, then one ending in `ing`."""
     return P.search(table(s, d, "documents").select(F.col("doc_id").alias("doc"), "text"), '"the" _{0,2} *ing')
+
+
+from . import lexical  # noqa: E402, F401  (adds its queries)

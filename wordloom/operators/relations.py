@@ -22,10 +22,10 @@ def closure(edges: DataFrame) -> DataFrame:
     out = nodes.select("code", F.col("code").alias("member"))
     new = edges.select(F.col("parent").alias("code"), F.col("child").alias("member"))
     while new.take(1):
-        if new.filter("code = member").take(1):
-            raise ValueError("the edges have a cycle")
         out = kept(out.union(new))
-        step = new.join(edges, F.col("member") == F.col("parent")).select("code", F.col("child").alias("member")).distinct()
+        step = kept(new.join(edges, F.col("member") == F.col("parent")).select("code", F.col("child").alias("member")).distinct())
+        if step.filter("code = member").take(1):
+            raise ValueError("the edges have a cycle")
         new = kept(step.join(out, ["code", "member"], "left_anti"))
     return out
 

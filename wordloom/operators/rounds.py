@@ -15,7 +15,7 @@ def kept(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
             raise ValueError("name a shared folder in spark.checkpoint.dir")
         base = "file://" + tempfile.mkdtemp(prefix="wordloom-")
         spark.conf.set("spark.checkpoint.dir", base)

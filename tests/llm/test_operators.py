@@ -119,6 +119,41 @@ def test_near_dedup_chain_of_edits(spark):
     assert out == op2_near_dedup.brute_force([(i, t) for i, t, _ in rows])
 
 
+def test_near_dedup_links_any_sizes(spark, monkeypatch):
+    """Against sets of five words in plain Python: parts of much longer texts, at and just below the threshold, short ones
+    in many texts, and texts that share most lines but no link."""
+    rnd = random.Random(21)
+    long = [prose(rnd, n) for n in (40, 90, 300, 700, 2000)]
+    rows = [(10 * i, t) for i, t in enumerate(long)]
+    part = lambda t, a, n: " ".join(t.split()[a : a + n])
+    rows += [(1, part(long[4], 900, 60)), (2, part(long[3], 5, 500)), (11, part(long[2], 0, 60)), (12, part(long[1], 80, 5)), (13, part(long[0], 3, 4))]
+    for k, (own, shared) in enumerate([(4, 16), (5, 15), (5, 20), (8, 40), (20, 80), (21, 80), (60, 240)]):  # own of own + shared shingles are apart
+        rows.append((100 + k, part(long[4], 200 * k, shared + 4) + " " + prose(rnd, own)))
+    notice = prose(rnd, 30)
+    rows += [(200 + k, f"{notice} {prose(rnd, 40 + 30 * k)}") for k in range(12)] + [(230 + k, f"{notice} {prose(rnd, k)}") for k in range(9)]
+    lines = [prose(rnd, 25) for _ in range(8)]
+    rows += [(300 + k, " ".join(rnd.sample(lines, 4)) + " " + prose(rnd, rnd.choice([10, 30, 200]))) for k in range(30)]
+    rows += [(301, rows[-29][1]), (400, long[3]), (-5, part(long[4], 300, 1500))]
+
+    def shingle_set(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = {i: shingle_set(t) for i, t in rows}
+    want = {i: i for i in sets}
+    linked = [(x, y) for x in sets for y in sets if x < y and 5 * len(sets[x] & sets[y]) >= 4 * min(len(sets[x]), len(sets[y]))]
+    assert any(max(len(sets[x]), len(sets[y])) > 20 * min(len(sets[x]), len(sets[y])) for x, y in linked)
+    while new := [(x, y) for x, y in linked if want[x] != want[y]]:
+        for x, y in new:
+            want[x] = want[y] = min(want[x], want[y])
+    docs = table(spark, [(i, t, "a") for i, t in rows])
+    assert {r.doc_id: r.class_id for r in op2_near_dedup.classes(docs).collect()} == want
+    # All of it without the bands too, and with groups of a few shingles.
+    monkeypatch.setattr(op2_near_dedup, "buckets", lambda nodes: nodes.select(nodes.a.alias("key"), "node", "n", nodes.n.alias("w")).limit(0))
+    monkeypatch.setattr(op2_near_dedup, "GROUP", 8)
+    assert {r.doc_id: r.class_id for r in op2_near_dedup.classes(docs).collect()} == want
+
+
 def test_banding_reaches_its_recall():
     for k in range(20):
         bands, r = op2_near_dedup.banding(k)

@@ -1,37 +1,44 @@
 """Near-duplicate classes by a containment ensemble over MinHash.
 
-Two documents are linked if at least THRESHOLD of the smaller one's distinct five-word shingles are in the larger one, which
-has at most RATIO times as many; classes are the connected components. Documents are partitioned by the size of their
-shingle set. For each partition the containment threshold becomes the least Jaccard similarity that such a pair can have
-there, and bands are tuned to it apart from other partitions. What the bands propose is checked exactly on the shingle sets.
-
-Equal sets are one node from the start. Buckets are never expanded into all pairs at first: each is a star around its
-smallest id. Once links have merged nodes, only pairs of one bucket that are still in different classes are left, and these
-are compared until none is, so a bucket of copies costs as many checks as it has members.
+Two documents are linked if at least THRESHOLD of the smaller one's distinct five-word shingles are in the larger one, however
+much larger that is; classes are the connected components. Equal sets are one node from the start. Two steps find the links:
+
+The ensemble merges most of a class early, from pairs whose sizes are within RATIO. Documents are partitioned by the size of
+their shingle set. For each partition the containment threshold becomes the least Jaccard similarity that such a pair can have
+there, and bands are tuned to it apart from other partitions. A bucket is a star around its smallest id, never all pairs.
+
+The rest is exact, for any sizes. Only shingles that two classes share can link these classes, so a node with too few of them
+is no smaller side of a new link. One with s of them, of which a link takes t, shares one of its first s - t + 1 with the other
+side, in whatever order; the rarest come first. These are looked up among the shared shingles of all nodes, first from one
+node a shingle, then, once links have merged classes, from all that are still apart. Every pair of both steps is checked on
+the shingle sets.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, own_names, saved
+from .common import map_arrow, own_names, saved, small_batches
 from .shingles import coefficients, mix, shingle_sets, signature
 
 THRESHOLD, WIDTH, RATIO = 0.8, 5, 1.25
 #: Values of a signature, and the least chance that a pair at the threshold meets in a bucket.
 HASHES, RECALL = 114, 0.999
+#: Shingles that a group of the exact step has on average, at most.
+GROUP = 1 << 18
 
 
 @lru_cache(maxsize=64)
 def jaccard_floor(k: int) -> float:
-    """The least Jaccard similarity of a linked pair whose smaller set has 2^k to 2^(k+1)-1 shingles."""
+    """The least Jaccard similarity of a linked pair within RATIO whose smaller set has 2^k to 2^(k+1)-1 shingles."""
     if k > 8:
         return THRESHOLD / (1 + RATIO - THRESHOLD)
     both = [(a, math.ceil(THRESHOLD * a - 1e-9)) for a in range(1 << k, 2 << k)]
@@ -107,16 +114,14 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         sets = shingle_sets(batch.column(1).to_pylist(), WIDTH)
         return pa.RecordBatch.from_pydict({"node": batch.column(0), "items": pa.array([s.tobytes() for s in sets], pa.binary())})
 
-    text = docs.select(F.col("doc_id").alias("node"), "text").join(wanted.select("node").distinct(), "node", "left_semi")
+    text = docs.select(F.col("doc_id").alias("node"), "text").join(wanted.select("node"), "node", "left_semi")
     return map_arrow(text, run, "node long, items binary")
 
 
 def contained(x: bytes, y: bytes) -> bool:
     p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
     least = min(len(p), len(q))
-    if not least or max(len(p), len(q)) > RATIO * least:
-        return False
-    return len(np.intersect1d(p, q, assume_unique=True)) >= THRESHOLD * least - 1e-9
+    return least > 0 and len(np.intersect1d(p, q, assume_unique=True)) >= THRESHOLD * least - 1e-9
 
 
 def check_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -147,10 +152,129 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def sized(pairs: DataFrame) -> DataFrame:
-    """Drops pairs whose sizes alone rule out a link."""
+    """Pairs that the bands are tuned to; the exact step has the others."""
     return pairs.filter(F.greatest("m", "n") <= RATIO * F.least("m", "n"))
 
 
+def packed(x: np.ndarray, starts: list[int]) -> tuple[list[int], list[bytes]]:
+    """For each run from a start to the next its least number, and what each one adds to it, in as few bytes as hold all."""
+    least, rest = [], []
+    for run in np.split(x, starts[1:]):
+        low = run.min()
+        more = (run - low).view(np.uint64)
+        least.append(int(low))
+        rest.append(more.astype(np.min_scalar_type(more.max())).tobytes())
+    return least, rest
+
+
+def unpacked(least: int, rest: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(rest, f"u{len(rest) // n}").astype(np.uint64).view(np.int64) + least
+
+
+def shingle_blocks(text: DataFrame, bits: int) -> DataFrame:
+    """All shingles of node, label, text, in blocks: part is their upper bits, rest the lower 56 of each, with its node and label."""
+
+    def block(held: list[tuple]) -> pa.RecordBatch:
+        h, node, label = (np.concatenate(x) for x in zip(*held))
+        part = (h >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
+        order = np.argsort(part, kind="stable")
+        h, node, label, part = h[order], node[order], label[order], part[order]
+        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist()
+        raw = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :7])
+        least, more = packed(node, starts)
+        low, above = packed(label, starts)
+        return pa.RecordBatch.from_pydict({"part": pa.array(part[starts].astype(np.int32)), "rest": pa.array([x.tobytes() for x in np.split(raw, starts[1:])], pa.binary()), "n0": pa.array(least, pa.int64()), "node": pa.array(more, pa.binary()), "l0": pa.array(low, pa.int64()), "label": pa.array(above, pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+        for batch in batches:
+            sets = shingle_sets(batch.column(2).to_pylist(), WIDTH)
+            count = list(map(len, sets))
+            if sum(count):
+                held.append((np.concatenate(sets), *(np.repeat(batch.column(j).to_numpy(), count) for j in (0, 1))))
+                size += sum(count)
+            if size >= 1 << 19:
+                yield block(held)
+                held, size = [], 0
+        if held:
+            yield block(held)
+
+    small_batches(text.sparkSession)
+    return text.select("node", "label", "text").mapInArrow(run, "part int, rest binary, n0 long, node binary, l0 long, label binary")
+
+
+def shared_shingles(text: DataFrame, total: int) -> DataFrame:
+    """v, node, label, c: the shingles v of each node that nodes of at least two labels have; c nodes have v."""
+    bits = min(31, max(8, math.ceil(math.log2(max(1, total) / GROUP))))
+
+    def run(blocks: pa.Table) -> pa.Table:
+        rest = blocks["rest"].to_pylist()
+        raw = np.zeros((sum(map(len, rest)) // 7, 8), np.uint8)
+        raw[:, :7] = np.frombuffer(b"".join(rest), np.uint8).reshape(-1, 7)
+        v = raw.view(np.uint64).ravel() | np.uint64((blocks["part"][0].as_py() << (64 - bits)) & ((1 << 64) - 1))
+        node, label = (np.concatenate([unpacked(a, x, len(r) // 7) for a, x, r in zip(blocks[i].to_pylist(), blocks[j].to_pylist(), rest)]) for i, j in (("n0", "node"), ("l0", "label")))
+        order = np.argsort(v)
+        v, node, label = v[order], node[order], label[order]
+        # Most shingles have one node: only the others are put in order of their nodes, for rows that repeat a document.
+        again = v[1:] == v[:-1]
+        many = np.concatenate([again, [False]]) | np.concatenate([[False], again])
+        v, node, label = v[many], node[many], label[many]
+        order = np.lexsort((node, v))
+        v, node, label = v[order], node[order], label[order]
+        if len(v):
+            once = np.concatenate([[True], (v[1:] != v[:-1]) | (node[1:] != node[:-1])])
+            v, node, label = v[once], node[once], label[once]
+            starts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+            count = np.diff(np.append(starts, len(v)))
+            c = np.repeat(count, count)
+            apart = np.repeat(np.minimum.reduceat(label, starts) < np.maximum.reduceat(label, starts), count)
+            v, node, label, c = v[apart], node[apart], label[apart], c[apart]
+        else:
+            c = node
+        return pa.table({"v": v.view(np.int64), "node": node, "label": label, "c": c.astype(np.int64)})
+
+    return shingle_blocks(text, bits).groupBy("part").applyInArrow(run, "v long, node long, label long, c long")
+
+
+def probes(shared: DataFrame, sizes: DataFrame) -> DataFrame:
+    """v, x, m: for each node x, of m shingles, that can be the smaller side of a link, the shingles of which it needs one.
+    These nodes are few and written, so that their size decides whether the shared shingles are shuffled for them."""
+    need = F.ceil(THRESHOLD * F.col("m") - 1e-9)
+    can = saved(shared.groupBy("node").agg(F.count("*").alias("s")).join(sizes, "node").filter(F.col("s") >= need).select("node", "m", (F.col("s") - need + 1).alias("reach")))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("c", "v"))
+    return shared.join(can, "node").withColumn("rank", rank).filter("rank <= reach").select("v", F.col("node").alias("x"), "m")
+
+
+def exact_links(docs: DataFrame, text: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """x, y: links that join the classes of links into the whole ones."""
+    sizes = nodes.groupBy("node").agg(F.min("n").alias("m"), F.max("n").alias("k"))
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    shared = saved(shared_shingles(text, total))
+    probe = saved(probes(shared, sizes.select("node", "m")))
+    at = saved(shared.join(probe.select("v"), "v", "left_semi").select("v", F.col("node").alias("y"), F.col("label").alias("q")))
+    sets = saved(sets_of(docs, saved(at.select(F.col("y").alias("node")).distinct())))
+    large = sizes.select(F.col("node").alias("y"), "k")
+
+    def fitting(one: DataFrame, other: DataFrame) -> DataFrame:
+        """Pairs of one's x and other's y that have a shingle in common and are in different classes."""
+        pairs = one.join(other, "v").filter("p != q").select("x", "m", "y").distinct()
+        return pairs.join(large, "y").filter("k >= m").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+    # First from one node a shingle, which joins most of what shares it; then from all, where classes are still apart.
+    hub = probe.groupBy("v").agg(F.min(F.struct("m", "x")).alias("h")).select("v", "h.m", "h.x")
+    own = at.select("v", F.col("y").alias("x"), F.col("q").alias("p"))
+    tested = saved(fitting(hub.join(own, ["v", "x"]), at))
+    first = saved(check_pairs(tested, sets))
+    label = components(links.unionByName(first)).withColumnsRenamed({"node": "y", "label": "r"})
+    now = at.join(label, "y", "left").select("v", "y", F.coalesce("r", "y").alias("q"))
+    split = now.groupBy("v").agg(F.min("q").alias("lo"), F.max("q").alias("hi")).filter("lo < hi").select("v")
+    left = saved(now.join(split, "v", "left_semi"))
+    own = left.select("v", F.col("y").alias("x"), F.col("q").alias("p"))
+    rest = fitting(probe.join(own, ["v", "x"]), left).join(tested, ["x", "y"], "left_anti")
+    return saved(first.unionByName(check_pairs(rest, sets)))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class) and n_shingles of every row.
 
@@ -161,21 +285,18 @@ def classes(docs: DataFrame) -> DataFrame:
     prints = saved(fingerprints(docs))
     nodes = saved(prints.groupBy("a", "b").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     members = saved(buckets(nodes.filter("n > 0")))
-    sets = saved(sets_of(docs, members))
     hubs = members.groupBy("key", "w").agg(F.min(F.struct("node", "n")).alias("h"), F.count("*").alias("c")).filter("c > 1").select("key", "w", F.col("h.node").alias("x"), F.col("h.n").alias("m"))
     star = sized(members.join(hubs, ["key", "w"]).filter("node != x")).groupBy("x", F.col("node").alias("y")).agg(F.count("*").alias("c"))
-    # First each node with the hub it meets most often, which joins most of a class at once.
-    best = star.groupBy("y").agg(F.max(F.struct("c", (-F.col("x")).alias("x"))).alias("s")).select((-F.col("s.x")).alias("x"), "y")
-    tested = saved(best)
-    links = saved(check_pairs(tested, sets))
+    # Each node with the hub it meets most often, which joins most of a class at once.
+    best = saved(star.groupBy("y").agg(F.max(F.struct("c", (-F.col("x")).alias("x"))).alias("s")).select((-F.col("s.x")).alias("x"), "y"))
+    ends = saved(best.select(F.explode(F.array("x", "y")).alias("node")).distinct())
+    links = saved(check_pairs(best, saved(sets_of(docs, ends))))
     label = components(links)
-    # Then all pairs of a bucket that are still in different classes and weren't compared.
-    now = members.join(label, "node", "left").select("key", "w", "node", "n", F.coalesce("label", "node").alias("label"))
-    open_keys = now.groupBy("key", "w").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key", "w")
-    left = saved(now.join(open_keys, ["key", "w"], "left_semi"))
-    one = left.select("key", "w", F.col("node").alias("x"), F.col("n").alias("m"), F.col("label").alias("p"))
-    rest = sized(one.join(left.withColumnRenamed("node", "y"), ["key", "w"]).filter("x < y and p != label")).select("x", "y").distinct()
-    more = saved(check_pairs(rest.join(tested, ["x", "y"], "left_anti"), sets))
+    # Documents that are no node, and nodes that have another label; the text of the former isn't read again.
+    known = nodes.filter("n > 0").select("node").distinct().join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    other = saved(prints.select("doc_id").distinct().join(known, F.col("doc_id") == F.col("node"), "left").filter("node is null or label != node").select(F.col("doc_id").alias("d"), "label"))
+    text = docs.select("doc_id", "text").filter("doc_id is not null").join(other, F.col("doc_id") == F.col("d"), "left").filter("d is null or label is not null").select(F.col("doc_id").alias("node"), F.coalesce("label", "doc_id").alias("label"), "text")
+    more = exact_links(docs, text, nodes.filter("n > 0").select("node", "n"), links)
     if more.take(1):
         label = components(links.unionByName(more))
     of_set = nodes.join(label, "node", "left").select("a", "b", F.coalesce("label", "node").alias("c"))

@@ -105,6 +105,15 @@ def test_stages_of_an_empty_table(spark, folder):
         assert stage(spark, empty, folder).count() == 0
 
 
+def test_near_dedup_sees_a_part_of_a_much_longer_text(spark, folder):
+    """Four fifths of a text's five-word shingles are enough, whatever the other's length; less are not."""
+    words = [f"w{i}" for i in range(600)]
+    text = lambda a, n, own=0: " ".join(words[a : a + n] + [f"own{a}x{i}" for i in range(own)])
+    rows = [(0, text(0, 300), "a"), (1, text(20, 30), "a"), (2, text(100, 84, 20), "b"), (3, text(200, 83, 20), "b"), (4, text(300, 20), "a"), (5, text(300, 300), "a"), (None, text(0, 300), "a")]
+    out = STAGES["near_dedup"](spark, table(spark, rows), folder)
+    assert {r.doc_id for r in out.collect()} == {0, 3, 4, None}
+
+
 def test_decontamination_removes_each_document_with_a_passage(spark, folder):
     """One passage of one item is enough, whatever the operator before has kept."""
     rows, _ = fixture_rows()

@@ -154,6 +154,34 @@ def test_near_dedup_links_any_sizes(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in op2_near_dedup.classes(docs).collect()} == want
 
 
+def classes_by_text(rows):
+    """Class of each document: texts are linked one by one, and a document ties all of its texts."""
+    sets = [(i, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set(), t or "") for i, t in rows]
+    linked = lambda a, b, s, t: 5 * len(a & b) >= 4 * min(len(a), len(b)) if a and b else not a and not b and s == t
+    pairs = [(i, j) for i, a, s in sets for j, b, t in sets if i < j and linked(a, b, s, t)]
+    out = {i: i for i, _ in rows}
+    while new := [(x, y) for x, y in pairs if out[x] != out[y]]:
+        for x, y in new:
+            out[x] = out[y] = min(out[x], out[y])
+    return out
+
+
+def test_near_dedup_ties_the_texts_of_one_document(spark):
+    """Rows that repeat a doc_id link all that any of them is near to, and only that: not what their texts hold together."""
+    rnd = random.Random(33)
+    a, b, c, d, e = (prose(rnd, n) for n in (60, 90, 40, 200, 30))
+    half = lambda t, k: " ".join(t.split()[k : k + 16])
+    rows = [(3, a), (4, b), (5, a), (5, b), (9, None), (10, c), (11, c), (11, ""), (12, "!"), (13, d)]
+    rows += [(20, half(c, 0) + " " + prose(rnd, 30)), (20, half(d, 9) + " " + prose(rnd, 9)), (21, half(d, 9) + " " + half(e, 0) + " " + prose(rnd, 40))]
+    rows += [(22, half(e, 0) + " " + prose(rnd, 18)), (22, half(d, 9) + " " + prose(rnd, 60)), (23, half(e, 2)), (23, prose(rnd, 9)), (24, e)]
+    lines = [prose(rnd, 14) for _ in range(9)]
+    rows += [(30 + rnd.randrange(40), " ".join(rnd.sample(lines, rnd.choice([1, 2, 3]))) + " " + prose(rnd, rnd.choice([2, 30, 90]))) for _ in range(60)]
+    want = classes_by_text(rows)
+    assert want[3] == want[4] == want[5] == 3 and want[9] == want[10] == want[11] == 9 and len({*want.values()}) > 8
+    out = op2_near_dedup.classes(table(spark, [(i, t, "a") for i, t in rows]))
+    assert {(r.doc_id, r.class_id) for r in out.collect()} == {*want.items()} and out.count() == len(rows)
+
+
 def test_banding_reaches_its_recall():
     for k in range(20):
         bands, r = op2_near_dedup.banding(k)

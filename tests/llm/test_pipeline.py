@@ -114,6 +114,15 @@ def test_near_dedup_sees_a_part_of_a_much_longer_text(spark, folder):
     assert {r.doc_id for r in out.collect()} == {0, 3, 4, None}
 
 
+def test_near_dedup_keeps_one_of_what_a_document_of_two_texts_ties(spark, folder):
+    """Copies of either text are in the class of the document that has both."""
+    rnd = random.Random(8)
+    a, b, c = (prose(rnd, n) for n in (60, 90, 70))
+    rows = [(3, a, "a"), (4, b, "a"), (5, a, "a"), (5, b, "b"), (6, " ".join(b.split()[10:40]), "a"), (7, c, "a"), (7, c + " more", "a")]
+    out = STAGES["near_dedup"](spark, table(spark, rows), folder)
+    assert sorted(r.doc_id for r in out.collect()) == [3, 7, 7]
+
+
 def test_decontamination_removes_each_document_with_a_passage(spark, folder):
     """One passage of one item is enough, whatever the operator before has kept."""
     rows, _ = fixture_rows()

@@ -280,7 +280,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
     Words are runs of letters and digits with A-Z lowered; a text of fewer than five words is one shingle; texts without
     words (null as empty) have 0 shingles and share a class only if they are equal, and a null doc_id has a null class. Rows that repeat a doc_id are one
-    document, so they share a class whatever their texts. An empty table gives no rows; other columns aren't read.
+    document, so they share a class whatever their texts, with all that any of these is near to. An empty table gives no rows; other columns aren't read.
     Signatures, buckets, sets and links go through the shared folder; the driver sees none of them."""
     prints = saved(fingerprints(docs))
     nodes = saved(prints.groupBy("a", "b").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")))
@@ -290,7 +290,13 @@ def classes(docs: DataFrame) -> DataFrame:
     # Each node with the hub it meets most often, which joins most of a class at once.
     best = saved(star.groupBy("y").agg(F.max(F.struct("c", (-F.col("x")).alias("x"))).alias("s")).select((-F.col("s.x")).alias("x"), "y"))
     ends = saved(best.select(F.explode(F.array("x", "y")).alias("node")).distinct())
-    links = saved(check_pairs(best, saved(sets_of(docs, ends))))
+    links = check_pairs(best, saved(sets_of(docs, ends)))
+    # Documents of several different texts tie the nodes of these.
+    several = saved(prints.select("doc_id", "a", "b").distinct().groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if several.take(1):
+        of = prints.join(several, "doc_id", "left_semi").join(nodes.select("a", "b", "node"), ["a", "b"]).groupBy("doc_id").agg(F.collect_set("node").alias("all"))
+        links = links.unionByName(of.select(F.array_min("all").alias("x"), F.explode("all").alias("y")).filter("x != y").distinct())
+    links = saved(links)
     label = components(links)
     # Documents that are no node, and nodes that have another label; the text of the former isn't read again.
     known = nodes.filter("n > 0").select("node").distinct().join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"))

@@ -182,6 +182,23 @@ def test_near_dedup_ties_the_texts_of_one_document(spark):
     assert {(r.doc_id, r.class_id) for r in out.collect()} == {*want.items()} and out.count() == len(rows)
 
 
+def test_near_dedup_sends_little(spark, monkeypatch):
+    """A shingle takes 9 bytes with its node and label, whatever the ids; the exact step reads no text a second time."""
+    rnd = random.Random(3)
+    rows = [(10**12 + 1000 * i - 7 * (i % 3), f"{prose(rnd, 300)} {'a line in all of these texts ' * (i % 2)}") for i in range(40)]
+    text = spark.createDataFrame([(i, i, t) for i, t in rows[::-1]], "node long, label long, text string").coalesce(1)
+    blocks = op2_near_dedup.shingle_blocks(text, 2).collect()
+    n = sum(len(r.rest) // 7 for r in blocks)
+    assert n == sum(map(len, shingles.shingle_sets([t for _, t in rows], 5)))
+    assert sum(len(r.rest) + len(r.node) + len(r.label) for r in blocks) <= 10 * n
+    calls = []
+    sets_of = op2_near_dedup.sets_of
+    monkeypatch.setattr(op2_near_dedup, "sets_of", lambda *a: calls.append(a) or sets_of(*a))
+    rows = [(2, rows[0][1]), (3, " ".join(rows[0][1].split()[20:60])), (4, rows[1][1])]
+    assert got(op2_near_dedup.classes(table(spark, [(i, t, "a") for i, t in rows])), "doc_id", "class_id") == [(2, 2), (3, 2), (4, 4)]
+    assert len(calls) == 1
+
+
 def test_banding_reaches_its_recall():
     for k in range(20):
         bands, r = op2_near_dedup.banding(k)

@@ -108,14 +108,16 @@ def buckets(nodes: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, items: the shingle set, as bytes, of each wanted document."""
+    """node, items: the shingle set of each wanted document; a document of several texts has a row for each."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column(1).to_pylist(), WIDTH)
-        return pa.RecordBatch.from_pydict({"node": batch.column(0), "items": pa.array([s.tobytes() for s in sets], pa.binary())})
+        ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+        items = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
+        return pa.RecordBatch.from_pydict({"node": batch.column(0), "items": pa.ListArray.from_arrays(ends, items)})
 
     text = docs.select(F.col("doc_id").alias("node"), "text").join(wanted.select("node"), "node", "left_semi")
-    return map_arrow(text, run, "node long, items binary")
+    return map_arrow(text, run, "node long, items array<long>")
 
 
 def contained(x: bytes, y: bytes) -> bool:
@@ -124,16 +126,17 @@ def contained(x: bytes, y: bytes) -> bool:
     return least > 0 and len(np.intersect1d(p, q, assume_unique=True)) >= THRESHOLD * least - 1e-9
 
 
-def check_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (x, y) that are linked."""
+def common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (x, y) with their other columns, the items of x as p, those of y as q, and how many are in both. What
+    goes along with a pair to the place of y is the set of x alone."""
+    both = pairs.join(sets.select(F.col("node").alias("x"), F.col("items").alias("p")), "x").join(sets.select(F.col("node").alias("y"), F.col("items").alias("q")), "y")
+    return both.withColumn("both", F.size(F.array_intersect("p", "q")))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, y, p, q = (c.to_pylist() for c in batch.columns)
-        good = [contained(a, b) for a, b in zip(p, q)]
-        return pa.RecordBatch.from_pydict({"x": pa.array([i for i, g in zip(x, good) if g], pa.int64()), "y": pa.array([i for i, g in zip(y, good) if g], pa.int64())})
 
-    both = pairs.select("x", "y").join(sets.select(F.col("node").alias("x"), F.col("items").alias("p")), "x").join(sets.select(F.col("node").alias("y"), F.col("items").alias("q")), "y").select("x", "y", "p", "q")
-    return map_arrow(both, run, "x long, y long")
+def check_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (x, y) that are linked, by their whole sets."""
+    least = F.least(F.size("p"), F.size("q"))
+    return common(pairs.select("x", "y"), sets).filter((least > 0) & (F.col("both") >= THRESHOLD * least - 1e-9)).select("x", "y")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -156,44 +159,39 @@ def sized(pairs: DataFrame) -> DataFrame:
     return pairs.filter(F.greatest("m", "n") <= RATIO * F.least("m", "n"))
 
 
-def packed(x: np.ndarray, starts: list[int]) -> tuple[list[int], list[bytes]]:
-    """For each run from a start to the next its least number, and what each one adds to it, in as few bytes as hold all."""
-    least, rest = [], []
-    for run in np.split(x, starts[1:]):
-        low = run.min()
-        more = (run - low).view(np.uint64)
-        least.append(int(low))
-        rest.append(more.astype(np.min_scalar_type(more.max())).tobytes())
-    return least, rest
+def packed(x: np.ndarray, starts: list[int]) -> list[bytes]:
+    """The numbers from each start to the next, in as few bytes as hold all of them."""
+    return [run.astype(np.min_scalar_type(run.max())).tobytes() for run in np.split(x.view(np.uint64), starts[1:])]
 
 
-def unpacked(least: int, rest: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(rest, f"u{len(rest) // n}").astype(np.uint64).view(np.int64) + least
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"u{len(raw) // n}").astype(np.uint64)
 
 
 def shingle_blocks(text: DataFrame, bits: int) -> DataFrame:
-    """All shingles of node, label, text, in blocks: part is their upper bits, rest the lower 56 of each, with its node and label."""
+    """All shingles of node, label, text, in blocks: part is their upper bits, rest the lower 56 of each. Nodes ascend from n0 by
+    the steps of node, nearly all of one byte; label is how far below its node a label is, nearly always 0."""
 
     def block(held: list[tuple]) -> pa.RecordBatch:
-        h, node, label = (np.concatenate(x) for x in zip(*held))
+        held = sorted(held, key=lambda x: x[1])
+        h, count = np.concatenate([x[0] for x in held]), [len(x[0]) for x in held]
+        node, label = (np.repeat(np.array([x[j] for x in held], np.int64), count) for j in (1, 2))
         part = (h >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
         order = np.argsort(part, kind="stable")
         h, node, label, part = h[order], node[order], label[order], part[order]
         starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist()
         raw = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :7])
-        least, more = packed(node, starts)
-        low, above = packed(label, starts)
-        return pa.RecordBatch.from_pydict({"part": pa.array(part[starts].astype(np.int32)), "rest": pa.array([x.tobytes() for x in np.split(raw, starts[1:])], pa.binary()), "n0": pa.array(least, pa.int64()), "node": pa.array(more, pa.binary()), "l0": pa.array(low, pa.int64()), "label": pa.array(above, pa.binary())})
+        step = np.diff(node, prepend=node[:1])
+        step[starts] = 0
+        return pa.RecordBatch.from_pydict({"part": pa.array(part[starts].astype(np.int32)), "rest": pa.array([x.tobytes() for x in np.split(raw, starts[1:])], pa.binary()), "n0": pa.array(node[starts]), "node": pa.array(packed(step, starts), pa.binary()), "label": pa.array(packed(node - label, starts), pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         for batch in batches:
             sets = shingle_sets(batch.column(2).to_pylist(), WIDTH)
-            count = list(map(len, sets))
-            if sum(count):
-                held.append((np.concatenate(sets), *(np.repeat(batch.column(j).to_numpy(), count) for j in (0, 1))))
-                size += sum(count)
+            held += [x for x in zip(sets, batch.column(0).to_pylist(), batch.column(1).to_pylist()) if len(x[0])]
+            size += sum(map(len, sets))
             if size >= 1 << 19:
                 yield block(held)
                 held, size = [], 0
@@ -201,7 +199,7 @@ def shingle_blocks(text: DataFrame, bits: int) -> DataFrame:
             yield block(held)
 
     small_batches(text.sparkSession)
-    return text.select("node", "label", "text").mapInArrow(run, "part int, rest binary, n0 long, node binary, l0 long, label binary")
+    return text.select("node", "label", "text").mapInArrow(run, "part int, rest binary, n0 long, node binary, label binary")
 
 
 def shared_shingles(text: DataFrame, total: int) -> DataFrame:
@@ -213,7 +211,11 @@ def shared_shingles(text: DataFrame, total: int) -> DataFrame:
         raw = np.zeros((sum(map(len, rest)) // 7, 8), np.uint8)
         raw[:, :7] = np.frombuffer(b"".join(rest), np.uint8).reshape(-1, 7)
         v = raw.view(np.uint64).ravel() | np.uint64((blocks["part"][0].as_py() << (64 - bits)) & ((1 << 64) - 1))
-        node, label = (np.concatenate([unpacked(a, x, len(r) // 7) for a, x, r in zip(blocks[i].to_pylist(), blocks[j].to_pylist(), rest)]) for i, j in (("n0", "node"), ("l0", "label")))
+        at = []
+        for first, steps, below, r in zip(*(blocks[k].to_pylist() for k in ("n0", "node", "label", "rest"))):
+            ids = np.cumsum(unpacked(steps, len(r) // 7)).view(np.int64) + first
+            at.append((ids, ids - unpacked(below, len(r) // 7).view(np.int64)))
+        node, label = (np.concatenate(x) for x in zip(*at))
         order = np.argsort(v)
         v, node, label = v[order], node[order], label[order]
         # Most shingles have one node: only the others are put in order of their nodes, for rows that repeat a document.
@@ -238,41 +240,56 @@ def shared_shingles(text: DataFrame, total: int) -> DataFrame:
 
 
 def probes(shared: DataFrame, sizes: DataFrame) -> DataFrame:
-    """v, x, m: for each node x, of m shingles, that can be the smaller side of a link, the shingles of which it needs one.
-    These nodes are few and written, so that their size decides whether the shared shingles are shuffled for them."""
+    """v, x, m, need, probe: the shared shingles v of each node x, of m shingles, that can be the smaller side of a link, which
+    takes `need` of them; of those with probe it needs one. These nodes are few and written, so that their size decides
+    whether the shared shingles are shuffled for them."""
     need = F.ceil(THRESHOLD * F.col("m") - 1e-9)
-    can = saved(shared.groupBy("node").agg(F.count("*").alias("s")).join(sizes, "node").filter(F.col("s") >= need).select("node", "m", (F.col("s") - need + 1).alias("reach")))
+    can = saved(shared.groupBy("node").agg(F.count("*").alias("s")).join(sizes, "node").filter(F.col("s") >= need).select("node", "m", need.alias("need"), (F.col("s") - need + 1).alias("reach")))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("c", "v"))
-    return shared.join(can, "node").withColumn("rank", rank).filter("rank <= reach").select("v", F.col("node").alias("x"), "m")
+    return shared.join(can, "node").withColumn("rank", rank).select("v", F.col("node").alias("x"), "m", "need", (F.col("rank") <= F.col("reach")).alias("probe"))
 
 
-def exact_links(docs: DataFrame, text: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """x, y: links that join the classes of links into the whole ones."""
+def exact_links(docs: DataFrame, text: DataFrame, nodes: DataFrame, links: DataFrame, several: DataFrame | None) -> DataFrame:
+    """x, y: links that join the classes of links into the whole ones. What two nodes of different classes have in common is
+    in the shared shingles, and in those of the smaller one: only these are counted, and no text is read again."""
     sizes = nodes.groupBy("node").agg(F.min("n").alias("m"), F.max("n").alias("k"))
     total = nodes.agg(F.sum("n")).first()[0] or 0
     shared = saved(shared_shingles(text, total))
-    probe = saved(probes(shared, sizes.select("node", "m")))
-    at = saved(shared.join(probe.select("v"), "v", "left_semi").select("v", F.col("node").alias("y"), F.col("label").alias("q")))
-    sets = saved(sets_of(docs, saved(at.select(F.col("y").alias("node")).distinct())))
+    own = saved(probes(shared, sizes.select("node", "m")))
+    probe = own.filter("probe").select("v", "x", "m", "need")
+    wanted = own.groupBy("v").agg(F.max("probe").alias("probe"))
+    near = saved(shared.select("v", F.col("node").alias("y"), F.col("label").alias("q")).join(wanted, "v"))
+    sets = saved(near.groupBy(F.col("y").alias("node")).agg(F.collect_list("v").alias("items")))
+    at = saved(near.filter("probe").select("v", "y", "q"))
     large = sizes.select(F.col("node").alias("y"), "k")
 
     def fitting(one: DataFrame, other: DataFrame) -> DataFrame:
         """Pairs of one's x and other's y that have a shingle in common and are in different classes."""
-        pairs = one.join(other, "v").filter("p != q").select("x", "m", "y").distinct()
-        return pairs.join(large, "y").filter("k >= m").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        pairs = one.join(other, "v").filter("p != q").select("x", "m", "need", "y").distinct()
+        return pairs.join(large, "y").filter("k >= m").select("x", "y", "need")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        found = common(pairs, sets).filter("both >= need").select("x", "y")
+        if several is None:
+            return found
+        # The sets of a document of several texts have been counted as one, so its pairs are looked at again text by text.
+        found = saved(found)
+        doubt = saved(found.join(several.toDF("x"), "x", "left_semi").unionByName(found.join(several.toDF("y"), "y", "left_semi")).distinct())
+        ends = saved(doubt.select(F.explode(F.array("x", "y")).alias("node")).distinct())
+        return found.join(doubt, ["x", "y"], "left_anti").unionByName(check_pairs(doubt, sets_of(docs, ends)))
 
     # First from one node a shingle, which joins most of what shares it; then from all, where classes are still apart.
-    hub = probe.groupBy("v").agg(F.min(F.struct("m", "x")).alias("h")).select("v", "h.m", "h.x")
-    own = at.select("v", F.col("y").alias("x"), F.col("q").alias("p"))
-    tested = saved(fitting(hub.join(own, ["v", "x"]), at))
-    first = saved(check_pairs(tested, sets))
+    hub = probe.groupBy("v").agg(F.min(F.struct("m", "x", "need")).alias("h")).select("v", "h.m", "h.x", "h.need")
+    p = at.select("v", F.col("y").alias("x"), F.col("q").alias("p"))
+    tested = saved(fitting(hub.join(p, ["v", "x"]), at))
+    first = saved(linked(tested))
     label = components(links.unionByName(first)).withColumnsRenamed({"node": "y", "label": "r"})
     now = at.join(label, "y", "left").select("v", "y", F.coalesce("r", "y").alias("q"))
     split = now.groupBy("v").agg(F.min("q").alias("lo"), F.max("q").alias("hi")).filter("lo < hi").select("v")
     left = saved(now.join(split, "v", "left_semi"))
-    own = left.select("v", F.col("y").alias("x"), F.col("q").alias("p"))
-    rest = fitting(probe.join(own, ["v", "x"]), left).join(tested, ["x", "y"], "left_anti")
-    return saved(first.unionByName(check_pairs(rest, sets)))
+    p = left.select("v", F.col("y").alias("x"), F.col("q").alias("p"))
+    rest = saved(fitting(probe.join(p, ["v", "x"]), left).join(tested, ["x", "y"], "left_anti"))
+    return saved(first.unionByName(linked(rest)))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -296,13 +313,15 @@ def classes(docs: DataFrame) -> DataFrame:
     if several.take(1):
         of = prints.join(several, "doc_id", "left_semi").join(nodes.select("a", "b", "node"), ["a", "b"]).groupBy("doc_id").agg(F.collect_set("node").alias("all"))
         links = links.unionByName(of.select(F.array_min("all").alias("x"), F.explode("all").alias("y")).filter("x != y").distinct())
+    else:
+        several = None
     links = saved(links)
     label = components(links)
     # Documents that are no node, and nodes that have another label; the text of the former isn't read again.
     known = nodes.filter("n > 0").select("node").distinct().join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     other = saved(prints.select("doc_id").distinct().join(known, F.col("doc_id") == F.col("node"), "left").filter("node is null or label != node").select(F.col("doc_id").alias("d"), "label"))
     text = docs.select("doc_id", "text").filter("doc_id is not null").join(other, F.col("doc_id") == F.col("d"), "left").filter("d is null or label is not null").select(F.col("doc_id").alias("node"), F.coalesce("label", "doc_id").alias("label"), "text")
-    more = exact_links(docs, text, nodes.filter("n > 0").select("node", "n"), links)
+    more = exact_links(docs, text, nodes.filter("n > 0").select("node", "n"), links, several)
     if more.take(1):
         label = components(links.unionByName(more))
     of_set = nodes.join(label, "node", "left").select("a", "b", F.coalesce("label", "node").alias("c"))

@@ -123,6 +123,15 @@ def test_near_dedup_keeps_one_of_what_a_document_of_two_texts_ties(spark, folder
     assert sorted(r.doc_id for r in out.collect()) == [3, 7, 7]
 
 
+def test_near_dedup_hands_no_pairs_of_sets_to_python(spark):
+    """Batches of pairs with both sets would take a worker's memory; they are counted where they are joined."""
+    sets = spark.createDataFrame([(1, [1, 2, 3, 4, 5]), (2, [9, 2, 3, 4, 5, 6, 7]), (3, [1, 2, 3, 6, 7]), (4, [])], "node long, items array<long>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (1, 4)], "x long, y long")
+    found = op2_near_dedup.check_pairs(pairs, sets)
+    assert sorted(found.collect()) == [(1, 2), (2, 3)]
+    assert "InArrow" not in found._jdf.queryExecution().toString()
+
+
 def test_decontamination_removes_each_document_with_a_passage(spark, folder):
     """One passage of one item is enough, whatever the operator before has kept."""
     rows, _ = fixture_rows()

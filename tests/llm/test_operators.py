@@ -76,6 +76,22 @@ def test_overlap_resynchronisation():
         assert e.count_huge(x, rnd.randint(2, 40), rnd.randint(1, 8)) == len(want) // 2
 
 
+def test_new_pieces_are_encoded_without_offsets():
+    """Offsets of every token cost time; a line feed tells words in a run apart as well."""
+    e, rnd = byte_bpe.Encoder(BYTE), random.Random(4)
+
+    class Fast:
+        encode_batch_fast = e.tok.encode_batch_fast
+
+    e.tok = Fast()
+    letters = "abcdefgeinrstABé漢ñßж'"
+    word = lambda: "".join(rnd.choice(letters) for _ in range(rnd.randint(1, 12)))
+    texts = ["".join(rnd.choice([" ", " ", " ", "\n", "  ", "\n ", ", ", " 12"]) + word() for _ in range(400)) for _ in range(20)] + ["", "\n", " a"]
+    want = e.whole(texts)
+    assert e.encode_all(texts) == want and e.encode_all(texts) == want
+    assert e.encode_all(texts[::-1] + ["zq " + word()])[:-1] == want[::-1]
+
+
 def test_token_files(spark, docs, rows, empty):
     tok = tokenizers.Tokenizer.from_file(BYTE)
     folder = shared_dir(spark)

@@ -12,7 +12,8 @@ import json
 import os
 import zlib
 from functools import lru_cache
-from itertools import chain
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 
@@ -37,6 +38,8 @@ class Encoder:
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
         pre = spec.get("pre_tokenizer") or {}
         self.quick = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and spec.get("post_processor") is None
+        feed = self.tok.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if self.quick and len(feed) == 1 else None
         self.cache: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -46,40 +49,38 @@ class Encoder:
         return bool(self.quick) and not pieces.unsafe().search(text) and not any(s in text for s in self.special)
 
     def learn(self, missing: list[str]) -> dict[str, bytes]:
-        """Encodes pieces. Those of a space and letters are encoded in long runs: put one after another they are again
-        these pieces, and offsets tell them apart."""
-        words = [x for x in missing if len(x) > 1 and x[0] == " " and x[1].isalpha() and x.isprintable()]
+        """Encodes pieces. Those of a space and letters are encoded in long runs with a line feed between any two: they
+        are again these pieces, and the line feed's id, which letters never have, tells them apart."""
+        words = [x for x in missing if len(x) > 1 and x[0] == " " and x[1].isalpha() and x.isprintable()] if self.feed is not None else []
         rest = list({*missing}.difference(words))
         out = dict(zip(rest, self.whole(rest)))
+        size = self.dtype.itemsize
         for i in range(0, len(words), 1000):
             part = words[i : i + 1000]
-            e = self.tok.encode("".join(part), add_special_tokens=False)
-            ids = np.array(e.ids, self.dtype)
-            starts = np.fromiter((o[0] for o in e.offsets), np.int64, len(ids))
-            cuts = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)))
-            ends = (np.searchsorted(starts, cuts) * self.dtype.itemsize).tolist()
-            raw = ids.tobytes()
-            out.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends], ends))))
+            raw = self.whole(["\n".join(part)])[0]
+            ends = (np.flatnonzero(np.frombuffer(raw, self.dtype) == self.feed) * size).tolist()
+            out.update(zip(part, map(raw.__getitem__, map(slice, [0, *(x + size for x in ends)], [*ends, len(raw)]))))
         return out
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Equal to the tokenizer on each whole text. The first CACHE different pieces that a worker meets stay known to
-        it; others are encoded once a batch."""
+        it; others are encoded once a batch. Each text is looked through once for pieces that aren't known, and only these
+        are filled in."""
         found = [pieces.spaced().findall(x) if self.provable(x) else None for x in texts]
-        got = [f and list(map(self.cache.get, f)) for f in found]
+        got = [list(map(self.cache.get, f or ())) for f in found]
+        gaps = [list(compress(range(len(g)), map(is_, g, repeat(None)))) for g in got]
         missing: set[str] = set()
-        for f, g in zip(found, got):
-            if f and None in g:
-                missing.update(x for x, v in zip(f, g) if v is None)
+        for f, gap in zip(found, gaps):
+            if gap:
+                missing.update(map(f.__getitem__, gap))
         new = self.learn(list(missing))
         if len(self.cache) < CACHE:
             self.cache.update(new)
         out = []
-        for x, f, g in zip(texts, found, got):
-            if f is None:
-                out.append(self.whole([x])[0])
-            else:
-                out.append(b"".join(new[x] if v is None else v for x, v in zip(f, g)) if g and None in g else b"".join(g))
+        for x, f, g, gap in zip(texts, found, got, gaps):
+            for j in gap:
+                g[j] = new[f[j]]
+            out.append(self.whole([x])[0] if f is None else b"".join(g))
         return out
 
     def encode(self, text: str) -> bytes:

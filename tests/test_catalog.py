@@ -65,6 +65,16 @@ def test_text(spark, f, value, want):
     assert one(spark, value, f) == want
 
 
+def test_words_are_split_at_plain_blanks(spark):
+    """As the regular expression does it, at every character, but without one."""
+    df = spark.createDataFrame([(f"x{chr(c)}-Y" + 3 * chr(c),) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000], "t string").coalesce(4)
+    c = F.col("t")
+    old = F.filter(F.split(F.translate(F.translate(F.lower(c), T.FOLD_FROM, T.FOLD_TO), T.NOTATION, ""), T.SEPARATORS), lambda w: w != "")
+    assert df.filter(T.split_words(c) != old).collect() == []
+    plan = df.select(T.split_words(c).alias("w"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split" in plan and "(?U)" not in plan and plan.count("translate(") == 1
+
+
 @pytest.mark.parametrize("seconds, want", [(0.0, "00:00.00"), (61.5, "01:01.50"), (3723.25, "1:02:03.25")])
 def test_format_timecode(spark, seconds, want):
     assert one(spark, seconds, T.format_timecode, "double") == want

@@ -202,6 +202,21 @@ def test_gloss_ranks(spark):
     assert out == {(1, 1): 0, (1, 2): 1, (1, 3): 2, (1, 4): 1, (3, 2): 3, (3, 3): 2, (3, 4): 3}
 
 
+def test_gloss_hits_look_at_equal_glosses_once(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(S, "kept", lambda df: (sizes.append(df.count()), df)[1])
+    glosses = [(i, ("fast run; to go", "a runner", "fast; runway")[i % 3]) for i in range(300)] + [(500, "fast"), (500, "to run")]
+    queries = [(1, "the run"), (2, "fast run"), (3, "fast none"), (4, "go"), (4, "run"), (5, "of")]
+    df = S.gloss_hits(spark.createDataFrame(queries, "qid int, text string"), spark.createDataFrame(glosses, "doc int, gloss string"))
+    rank = {1: (2, 3, 1), 2: (0, None, 3)}
+    want = sorted((q, i, r[i % 3]) for q, r in rank.items() for i in range(300) if r[i % 3] is not None)
+    rows = sorted(map(tuple, df.collect()))
+    assert [r for r in rows if r[0] < 3 and r[1] < 500] == want
+    assert [r for r in rows if r[1] == 500] == [(1, 500, 0), (1, 500, 3), (2, 500, 3), (2, 500, 3), (4, 500, 0), (4, 500, 3)]
+    assert sorted(r for r in rows if r[0] == 4 and r[1] < 3) == [(4, 0, 0), (4, 0, 2), (4, 1, 3), (4, 2, 1)]
+    assert sizes[0] == 5 and not [r for r in rows if r[0] in (3, 5)]
+
+
 def test_postings_of_every_kind(spark):
     t = lambda *rows: spark.createDataFrame(rows, "doc int, text string")
     out = {(r.term, r.doc, r.kind, r.code) for r in I.postings(t((1, "Ka-na")), t((1, "kano")), None, t((1, "ka = na?")), t((2, "ka na"), (2, "na"))).collect()}

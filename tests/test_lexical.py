@@ -42,6 +42,15 @@ def test_long_ways_up_are_cut(spark):
     assert all((out[f"n{i:02}"] is None) == (i == 0 or i >= 32) for i in range(40))
 
 
+def test_short_ways_up_end_the_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(Y, "kept", lambda df: (rounds.append(1), df.localCheckpoint())[1])
+    tree = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "x")], "id string, parent string")
+    assert {r.id: r.parent for r in Y.cut(tree.filter("id <> 'x'")).collect()} == {"a": None, "b": "a", "c": "b"}
+    assert len(rounds) == 3
+    assert {r.id: r.parent for r in Y.cut(tree).collect()} == {"a": None, "b": "a", "c": "b", "x": None}
+
+
 def test_families_and_relations(spark):
     tree = spark.createDataFrame([("r", None), ("a", "r"), ("b", "r"), ("c", "a"), ("z", None)], "id string, parent string")
     hits = spark.createDataFrame([("c", 0.5), ("b", 0.2)], "id string, score double")

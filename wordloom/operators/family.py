@@ -18,6 +18,7 @@ def parents(items: DataFrame) -> DataFrame:
     entry group hangs below the parent its group names, else below the group's first head. Any other item hangs below its first link
     that exists, else, if a head, below the head of its source that alone has a derived text as its key, or alone as its text. A
     way up that comes back or has more than DEPTH steps is cut."""
+    items = kept(items)
     ids = items.select(F.col("id").alias("known"))
     heads = items.filter("grp IS NOT NULL AND head")
     first = heads.groupBy(F.col("grp").alias("g")).agg(F.min_by("id", F.struct("seq", "id")).alias("first"))
@@ -37,12 +38,15 @@ def parents(items: DataFrame) -> DataFrame:
 
 
 def cut(tree: DataFrame) -> DataFrame:
-    """id, parent, without the parents of those whose way up never ends within DEPTH steps. Ways double each round."""
+    """id, parent, without the parents of those whose way up never ends within DEPTH steps. Ways double each round, and only those that
+    go on are looked at again."""
     tree = kept(tree.select("id", "parent"))
-    far = tree
+    far = tree.filter("parent IS NOT NULL")
     for _ in range(DEPTH.bit_length() - 1):
-        far = kept(far.join(far.select(F.col("id").alias("parent"), F.col("parent").alias("next")), "parent", "left").select("id", F.col("next").alias("parent")))
-    endless = far.filter("parent IS NOT NULL").select("id").withColumn("bad", F.lit(True))
+        far = kept(far.join(far.select(F.col("id").alias("parent"), F.col("parent").alias("next")), "parent").select("id", F.col("next").alias("parent")))
+        if not far.take(1):
+            return tree
+    endless = far.select("id").withColumn("bad", F.lit(True))
     return tree.join(endless, "id", "left").select("id", F.when(F.col("bad").isNull(), F.col("parent")).alias("parent"))
 
 
@@ -53,7 +57,7 @@ def ancestors(tree: DataFrame) -> DataFrame:
     out = new
     while new.take(1):
         new = kept(new.join(step.select(F.col("id").alias("ancestor"), F.col("parent").alias("next")), "ancestor").select("id", F.col("next").alias("ancestor"), (F.col("depth") + 1).alias("depth")))
-        out = kept(out.unionByName(new))
+        out = out.unionByName(new)
     return out
 
 
